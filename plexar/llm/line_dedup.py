@@ -42,14 +42,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # repeated rows of one document do not make a window occur twice: its first and last occurrence then agree
     first = found.groupBy("h1", "h2").agg(F.min(rank).alias("f"), F.max(rank).alias("e")).where("f <> e")
     first = scratch.save(first.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "f"), "repeated")
-    later = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    # joins of tables that both grow with the corpus: sorted and merged at every size
+    later = found.join(first.hint("merge"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     later = later.where(rank != F.col("f")).select("id", "th", "pos")
     k_id, k_th, k_pos, k_lines = fresh(docs, "id", "th", "pos", "lines")
     gone = scratch.save(
         later.groupBy("id", "th").agg(F.collect_set("pos").alias("pos"))  # bounded by the lines of one document
         .select(F.col("id").alias(k_id), F.col("th").alias(k_th), F.col("pos").alias(k_pos)), "gone",
     )
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.xxhash64(t) == F.col(k_th)), "left")
+    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(k_id)) & (F.xxhash64(t) == F.col(k_th)), "left")
     covered = F.array_distinct(F.flatten(F.transform(k_pos, lambda p: F.sequence(p, p + window - 1))))
     lines = F.split(t, "\n", -1)
     mark = F.transform(F.sequence(F.lit(0), F.size(k_lines) - 1), lambda i: i)
