@@ -269,7 +269,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     k_id, k_n = fresh(docs, "id", "n")
     kept = groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(k_id)).agg(F.count("*").alias(k_n))
     kept = scratch.save(kept, "kept")
-    rows = docs.join(kept, F.col(id_col) == F.col(k_id), "left").where(F.col(id_col).isNull() | F.col(k_id).isNotNull())
+    # both sides grow with the corpus: sorted and merged at every size
+    rows = docs.join(kept.hint("merge"), F.col(id_col) == F.col(k_id), "left").where(F.col(id_col).isNull() | F.col(k_id).isNotNull())
     if kept.where(F.col(k_n) > 1).limit(1).count():  # only then are rows of one id to be told apart
         rows = rows.where(F.col(id_col).isNull()).unionByName(rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
