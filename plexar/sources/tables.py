@@ -120,23 +120,25 @@ class Store:
         return 0 if found is None else found + 1
 
     def insert(self, name: str, rows: DataFrame) -> int:
-        """Appends rows, with dense ids after the greatest. Columns left out get their default or null. Checks not-null
+        """Appends rows, with dense ids after the greatest, in the order given. Columns left out get their default or null. Checks not-null
         columns and primary keys. Returns the number of rows."""
         from plexar.operators.dml import insert
         from plexar.operators.graph_algo import Rounds
-        from plexar.operators.relational import dense_ids
+        from plexar.operators.relational import ordered_ids
 
         t = self.catalog.table(name)
         for c in t.columns:
             if c.name not in rows.columns and c.default is not None:
                 rows = rows.withColumn(c.name, F.lit(c.default))
-        new = Rounds(self.spark).save(insert(self.scan(name).limit(0), rows), "insert")
+        new = insert(self.scan(name).limit(0), rows).withColumn("__at", F.monotonically_increasing_id())
+        new = Rounds(self.spark).save(new, "insert")
         self.check_rows(name, new)
         keys = [c.name for c in t.columns if c.primary_key]
         if keys and not self.scan(name).select(*keys).unionByName(new.select(*keys)).groupBy(*keys).count().where("count > 1").isEmpty():
             raise ValueError(f"duplicate primary key in {name}")
         n = new.count()
-        self.replace(name, self.scan(name, with_id=True).unionByName(dense_ids(new, ID, self.next_id(name))))
+        numbered = ordered_ids(new, ["__at"], ID, self.next_id(name)).drop("__at")
+        self.replace(name, self.scan(name, with_id=True).unionByName(numbered))
         return n
 
     def check_rows(self, name: str, rows: DataFrame) -> None:

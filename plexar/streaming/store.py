@@ -30,11 +30,11 @@ class EventStore:
     def append(self, events: DataFrame) -> int:
         """Gives the events the next sequence numbers, in order of time and id, and appends them."""
         from plexar.operators.graph_algo import Rounds
-        from plexar.operators.relational import dense_ids
+        from plexar.operators.relational import ordered_ids
 
         last = self.events().agg(F.max("sequence")).first()[0]
-        rows = Rounds(self.spark).save(events.drop("sequence").repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id"), "append")
-        rows = dense_ids(rows, "sequence", 1 if last is None else last + 1)
+        rows = ordered_ids(events.drop("sequence"), ["ts", "event_id"], "sequence", 1 if last is None else last + 1)
+        rows = Rounds(self.spark).save(rows, "append")
         names = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
         rows.select(*names).write.mode("append").partitionBy("org_id", "event_type").parquet(f"{self.path}/events")
         return rows.count()
