@@ -48,7 +48,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
 def with_features(c: DataFrame) -> DataFrame:
     """Adds FEATURES (doubles) to candidates."""
     v, low = F.col("value"), F.lower("value")
-    n = F.length(v).cast("double")
+    n = F.greatest(F.length(v), F.lit(1)).cast("double")  # the optimizer may judge rows before the filter on value
     share = lambda keep: F.length(F.regexp_replace(v, f"[^{keep}]", "")) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     near = lambda words, where: where.rlike(r"(?i)(^|[^a-z0-9])(" + "|".join(words.split()) + r")([^a-z0-9]|$)")
@@ -59,7 +59,7 @@ def with_features(c: DataFrame) -> DataFrame:
         "transitions": (F.length(kinds) - 1) / n,
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "dictionary": (n - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))) / n,
-        "pathlike": (F.length(F.regexp_replace("token", r"[^/@.]", "")) / F.length("token")).cast("double"),
+        "pathlike": (F.length(F.regexp_replace("token", r"[^/@.]", "")) / F.greatest(F.length("token"), F.lit(1))).cast("double"),
         "keyed": F.col("token").rlike("[=:]").cast("double"),
         "secret_near": near(SECRET_WORDS, head).cast("double"),
         "other_near": near(OTHER_WORDS, F.concat_ws(" ", head, "after")).cast("double"),
