@@ -10,7 +10,7 @@ from plexar.functions.scalar import topic_match
 from plexar.operators.graph_algo import checkpoint_dir
 from plexar.registry import query
 from plexar.streaming import filters as ff
-from plexar.streaming import live, store, windows
+from plexar.streaming import channels, live, store, windows
 from plexar.streaming.model import from_clicks, user_of
 
 
@@ -236,6 +236,37 @@ def queue_offsets(t):
     return live.offsets(t("events").select(F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("consumer"), F.col("event_id").alias("sequence")))
 
 
+@query(f"SELECT {_ID} FROM events WHERE user_id % 4 = 2 AND event_type IN ('click', 'error')")
+def event_webhooks(t):
+    e = _events(t)
+    on, off = channels.endpoint({"types": ["click", "error"], "org": 2, "topics": ["users/**"]}), channels.endpoint({"active": False})
+    return e.where(on | off).select("event_id")
+
+
+@query("SELECT count(*) FILTER (WHERE user_id % 4 = 1) AS org, count(*) FILTER (WHERE user_id = 7) AS own, 0::BIGINT AS room, 0::BIGINT AS sys FROM events")
+def event_channels(t):
+    n = lambda kind, key, name: F.count(F.when(channels.channel(kind, key), 1)).alias(name)
+    return _events(t).agg(n("org", 1, "org"), n("user", 7, "own"), n("room", "x", "room"), n("system", None, "sys"))
+
+
+@query(f"SELECT {_ID} FROM events WHERE user_id % 4 = 0 AND event_type <> 'view' AND {_K} >= 10")
+def event_subscription(t):
+    return _events(t).where(channels.subscription(0, ["users/**"], ["users/*/view"], contents=[ff.content("k", "greater_or_equal", 10)])).select("event_id")
+
+
+@query("SELECT event_id::VARCHAR AS event_id, (row_number() OVER (ORDER BY ts, event_id))::INT AS place FROM events QUALIFY place <= 50")
+def event_global_order(t):
+    from pyspark.sql import Window
+
+    first = channels.ordered(_events(t), "global").limit(50)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("ts", "sequence"))).select("event_id", "place")
+
+
+@query(f"SELECT {_ID} FROM events WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 8 AND 18 AND dayofweek(ts) IN (1, 3)")
+def cron_schedule(t):
+    return _events(t).where(channels.cron_due("*/15 8-18 * * 1,3", F.col("ts"))).select("event_id")
+
+
 # --- streams, drained
 
 
@@ -271,3 +302,21 @@ WINDOW w AS (PARTITION BY user_id % 4, event_type ORDER BY epoch_us(ts), event_i
 def stream_frequency(t):
     """With a span beyond all events, the stateful count is the running count."""
     return live.drain(live.running_frequency(_stream(t), 3, 10**8), *_place(t, "frequency")).select("event_id", "n_recent")
+
+
+@query("""WITH g AS (SELECT user_id % 4 AS org_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id % 4 ORDER BY ts)),
+n AS (SELECT org_id, ts, sum(s) OVER (PARTITION BY org_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT org_id, min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(*) AS n FROM n GROUP BY org_id, k""")
+def stream_sessions(t):
+    out = live.drain(windows.sessions(_stream(t), "10 minutes", late="1 hour"), *_place(t, "sessions"), mode="complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("SELECT event_type AS consumer, 'delivered' AS state, count(*) AS n FROM events GROUP BY event_type")
+def stream_deliveries(t):
+    """Every event is delivered and acknowledged a second later, by the stateful machine."""
+    step = lambda a, s: F.struct(F.lit(a).alias("action"), (F.col("ts") + F.expr(f"INTERVAL {s} SECOND")).alias("at"))
+    log = _stream(t).select(F.col("event_id").alias("message_id"), F.col("event_type").alias("consumer"), F.explode(F.array(step("deliver", 0), step("ack", 1))).alias("x"))
+    log = log.select("message_id", "consumer", "x.action", F.col("x.at").alias("ts"))
+    out = live.drain(live.deliveries(log), *_place(t, "deliveries"), mode="update")
+    return out.groupBy("consumer", "state").agg(F.count("*").alias("n"))

@@ -127,6 +127,14 @@ def filter_json(t):
     return t("events").where(k > 50).select("event_id", k.alias("k"))
 
 
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7' OR json_extract_string(props, '$.k') = '9'")
+def filter_json_operators(t):
+    t.views("events")
+    from plexar.plans.rewrite import rewrite
+
+    return t.spark.sql(rewrite("""SELECT event_id FROM events WHERE props ->> 'k' = '7' OR props @> '{"k": 9}'"""))
+
+
 @query("SELECT o_orderkey AS k, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS i FROM orders QUALIFY o_totalprice > 100000")
 def filter_selection_vector(t):
     lists = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("v"))

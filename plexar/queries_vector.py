@@ -117,3 +117,12 @@ def jaccard_between_queries(t):
     d = t("documents").where("doc_id % 100 = 0").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("w"))
     a, b = d.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), d.select(F.col("doc_id").alias("b"), F.col("w").alias("wb"))
     return a.join(b, F.col("a") < F.col("b")).where(F.size("wa") > 0).select("a", "b", F.round(jaccard_distance("wa", "wb"), 6).alias("distance"))
+
+
+@query("""SELECT 'embeddings' AS table_name, 'l' || label AS column_name, count(*) AS n, 64::INT AS dims FROM embeddings WHERE label IS NOT NULL GROUP BY label""")
+def vector_store_batch(t):
+    from plexar.sources.vectors import store_batch
+
+    e = t("embeddings").where("label IS NOT NULL")
+    rows = e.select(F.lit("embeddings").alias("table_name"), F.concat(F.lit("l"), "label").alias("column_name"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), F.create_map().cast("map<string,string>").alias("metadata"))
+    return store_batch(rows, f"{checkpoint_dir(t.spark)}/vectors-{uuid.uuid4().hex}")
