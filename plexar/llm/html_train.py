@@ -108,7 +108,7 @@ class Pages:
         k = self.r.randrange(20)
         t = lambda a, b: MARK + self.text(a, b)
         if k < 11:
-            return f"<p>{t(2, 90)}{'</p>' if self.chance(0.85) else ''}"
+            return f"<p>{t(1, 4) if self.chance(0.2) else t(2, 90)}{'</p>' if self.chance(0.85) else ''}"
         if k == 11:
             return f"<p><b>{t(2, 60)}<br>"
         if k == 12:
@@ -215,7 +215,7 @@ def _backward(x, u, keep, dh_out):
     return dz, du
 
 
-def train(pages: int = 14000, epochs: int = 14, seed: int = 11) -> dict[str, np.ndarray]:
+def train(pages: int = 20000, epochs: int = 14, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     data = [p for k in range(10) for p in labelled(100 * seed + k, pages // 10)]
     init = lambda *s: rng.normal(0, 0.12, s).astype(np.float32)
