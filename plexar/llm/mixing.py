@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, word_count
+from .common import Scratch, fresh, text_of, word_count
 
 #: Source tables up to this many rows are broadcast; larger ones are joined with a shuffle.
 BROADCAST_SOURCES = 100_000
-#: Documents of a source fall into this many ranges of the seeded order (16 ** ORDER_DIGITS).
-ORDER_DIGITS = 3
+#: The seeded order is cut in two rounds, by so many digits of the hash each: first into 16 ** 3 ranges, then the range
+#: that holds a source's cut into as many again. What is left to order is a 16.7 millionth of a source.
+ORDER_DIGITS = (3, 6)
 
 
 def water_level(sources: DataFrame, size: str, weight: str, budget_ratio: float, max_epochs: float) -> tuple[float, float]:
@@ -59,7 +60,8 @@ def source_table(sized: DataFrame, scratch: Scratch, weights: Sequence[float]) -
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, budget_ratio, max_epochs, seed):
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    order = F.md5(F.concat(F.lit(f"{seed}|"), name, F.lit("|"), F.md5(text_of(text_col).cast("binary"))).cast("binary"))
     slim = scratch.save(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), order.alias("u")), "sized"
     )
@@ -72,29 +74,28 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     sources = sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
     # the fractional repetition: documents in seeded order while they bring the words nearer to the target
-    part = F.substring("u", 1, ORDER_DIGITS)
-    ranges = slim.groupBy("source", part.alias("range")).agg(F.sum("size").alias("n"))
-    upto = Window.partitionBy("source").orderBy("range")  # 16 ** ORDER_DIGITS rows for a source at most
-    ranges = ranges.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    s2 = sources.select(F.col("source").alias("s"), "rest")
     few = sources.count() <= BROADCAST_SOURCES
     hint = F.broadcast if few else (lambda df: df)
-    cut = scratch.save(
-        ranges.join(hint(s2), F.col("source").eqNullSafe(F.col("s")))
-        .where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("n")))
-        .select(F.col("source").alias("cs"), F.col("range").alias("cr"), "before", "rest"), "cut",
-    )  # a row for each source at most
-    inside = slim.join(hint(cut), F.col("source").eqNullSafe(F.col("cs")) & (part == F.col("cr")))
-    inside = inside.groupBy("source", "u", "before", "rest").agg(F.sum("size").alias("n"))
+    cut = sources.select(F.col("source").alias("cs"), F.lit("").alias("cr"), F.lit(0).cast("long").alias("base"), "rest")
+    for digits in ORDER_DIGITS:
+        # documents of the range that holds the cut so far, summed by the next digits
+        inside = slim.join(hint(cut), F.col("source").eqNullSafe(F.col("cs")) & F.col("u").startswith(F.col("cr"))).drop("cs", "cr")
+        ranges = inside.groupBy("source", F.substring("u", 1, digits).alias("range"), "base", "rest").agg(F.sum("size").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("source").orderBy("range"))  # 4096 rows for a source at most
+        ranges = ranges.withColumn("before", F.col("base") + upto - F.col("n"))
+        cut = ranges.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("n")))
+        cut = scratch.save(cut.select(F.col("source").alias("cs"), F.col("range").alias("cr"), F.col("before").alias("base"), "rest"), "cut")  # a row for each source at most
+    inside = slim.join(hint(cut), F.col("source").eqNullSafe(F.col("cs")) & F.col("u").startswith(F.col("cr")))
+    inside = inside.groupBy("source", "u", "base", "rest").agg(F.sum("size").alias("n"))
     w = Window.partitionBy("source").orderBy("u")
-    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(w))
+    inside = inside.withColumn("upto", F.col("base") + F.sum("n").over(w))
     # a document is taken if at least half of it lies below the target
     last = inside.where(F.col("upto") - F.col("n") / 2 <= F.col("rest")).groupBy("source").agg(F.max("u").alias("u_in"))
     last = last.select(F.col("source").alias("s3"), "u_in")
     cut = cut.select(F.col("cs"), F.col("cr"))
     sources = (
         sources.join(cut, F.col("source").eqNullSafe(F.col("cs")), "left").join(last, F.col("source").eqNullSafe(F.col("s3")), "left")
-        # a range below the crossing one is taken whole, also where nothing of the crossing one is
+        # ranges below the one of the cut are taken whole, also where nothing of that one is
         .select("source", "source_size", "target", "whole", F.coalesce("u_in", "cr").alias("u_in"))
     )
     return scratch, slim, scratch.save(sources, "plan"), hint, order
@@ -106,13 +107,13 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
 
     Sizes are words. The sources' targets are found by capped water-filling (``water_level``). A source's documents
     are all repeated floor(target / size) times; the rest of the target is filled by documents in a seeded order
-    (MD5 of seed and id), each taken once more if at least half of it lies below the target, so that what is taken
+    (MD5 of seed, id and text), each taken once more if at least half of it lies below the target, so that what is taken
     differs from the target by half a document at most. Every document of an even larger source costs one
     comparison: the order is cut at one value per source, found from sums over ranges of the order.
 
     Null sources are one source, which sorts last. Null, empty and blank texts have size 0 and take 0 words. Rows
-    that repeat an id share its place in the order and are all taken or all left. Null ids share one place. An
-    empty table gives an empty result. Reruns agree: nothing depends on partitioning.
+    equal in id (null or not) and text share a place in the order and are all taken or all left. An empty table
+    gives an empty result. Reruns agree: nothing depends on partitioning.
     """
     _, slim, sources, hint, _ = _plan(docs, id_col, text_col, source_col, weights, budget_ratio, max_epochs, seed)
     s = sources.withColumnRenamed("source", "s")

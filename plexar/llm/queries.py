@@ -60,7 +60,7 @@ _PLAIN = r"""list_filter(string_split_regex(translate(lower(coalesce(text, '')),
 
 ORACLE_SQL = {
     "op1_mix": f"""
-WITH s AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('17|' || coalesce(doc_id::VARCHAR, 'null')) AS u FROM documents),
+WITH s AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))) AS u FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s GROUP BY source),
 step AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS r FROM src),
 level AS (SELECT r, (1.5::DOUBLE * (SELECT sum(source_size)::DOUBLE FROM src) - coalesce(sum(cap) OVER (ORDER BY r, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
