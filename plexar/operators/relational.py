@@ -36,20 +36,25 @@ def summary(df: DataFrame, col: str, kind: str = "double") -> DataFrame:
     return df.agg(F.coalesce(F.min(c), zero).alias("min"), F.coalesce(F.max(c), zero).alias("max"), F.coalesce(F.sum(c), zero).alias("sum"), F.count(c).alias("count"))
 
 
-def percentiles(df: DataFrame, value: str, points: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+def percentiles(df: DataFrame, value: str, points: Sequence[int], by: Sequence[str] = (), ranges: int = 200) -> DataFrame:
     """(by..., point, value): the value at index floor(n * p / 100) of the sorted values, for every group.
 
-    Exact, and without a group in one task: values are counted first (equal ones together), groups get running counts
-    over distinct values, and the first value whose running count passes the index is the percentile. A group of more
-    distinct values than a task can hold is the one thing to avoid; round the value then.
-    """
-    rows = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    rows = rows.withColumn("__upto", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
-    rows = rows.withColumn("point", F.explode(F.array(*map(F.lit, points))))
+    Exact, and no group is sorted in one task: sketched quantiles cut each group's values into ranges, the ranges are
+    counted, and only the range that holds a point's index is sorted. Nulls do not count."""
+    keys = list(by) or ["__all"]
+    rows = (df if by else df.withColumn("__all", F.lit(0))).where(F.col(value).isNotNull())
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("__b"), F.count("*").alias("__n"))
+    at = F.size(F.filter("__b", lambda b: b < F.col(value))).alias("__r")
+    placed = rows.select(*keys, value).join(sketch, keys).select(*keys, F.col(value).alias("value"), "__n", at)
+    counts = placed.groupBy(*keys, "__n", "__r").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__r"))  # as many rows as ranges
+    counts = counts.withColumn("__before", upto - F.col("__c")).withColumn("point", F.explode(F.array(*map(F.lit, points))))
     index = F.least(F.floor(F.col("__n") * F.col("point") / 100), F.col("__n") - 1)
-    hit = (F.col("__upto") > index) & (F.col("__upto") - F.col("__c") <= index)
-    return rows.where(hit).select(*by, "point", F.col(value).alias("value"))
+    holding = counts.where((F.col("__before") <= index) & (index < F.col("__before") + F.col("__c")))
+    holding = holding.select(*keys, "__r", "point", (index - F.col("__before") + 1).alias("__k"))
+    near = placed.select(*keys, "__r", "value").join(holding, [*keys, "__r"])
+    w = Window.partitionBy(*keys, "point").orderBy("value")
+    return near.withColumn("__i", F.row_number().over(w)).where(F.col("__i") == F.col("__k")).select(*by, "point", "value")
 
 
 def running_percentile_approx(df: DataFrame, value: str, points: Sequence[int], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plexar.session import ship
+
 
 class Tables:
     """t("orders") reads a table; t.spark and t.dir are at hand."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.dir = spark, folder
+        ship(spark)
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

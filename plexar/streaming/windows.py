@@ -36,11 +36,20 @@ def trend(df: DataFrame, width: str = "1 hour", by: tuple[str, ...] = ("event_ty
     return counts.withColumn("trend", kind)
 
 
-def frequency(df: DataFrame, count: int, seconds: int, by: tuple[str, ...] = ("org_id", "event_type")) -> DataFrame:
+def frequency(df: DataFrame, count: int, seconds: int, by: tuple[str, ...] = ("org_id", "event_type"), spans: int = 16) -> DataFrame:
     """df with n_recent, the events of the key in the last seconds (strictly newer than that long ago, itself included),
-    and fires, whether they are at least count."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("n_recent", F.count("*").over(w)).withColumn("fires", F.col("n_recent") >= count)
+    and fires, whether they are at least count.
+
+    A key's events are worked on in slices of ``spans`` times the seconds; each event also joins the slice after its own
+    where that may look back to it. So a key with most of the events is still many tasks."""
+    width = seconds * spans
+    at = F.unix_micros("ts")
+    slice_of = lambda t: F.floor(t / F.lit(width * 1_000_000))
+    own, reach = slice_of(at), slice_of(at + F.lit(seconds * 1_000_000))
+    rows = df.withColumn("__s", F.explode(F.array_distinct(F.array(own, reach)))).withColumn("__own", own == F.col("__s"))
+    w = Window.partitionBy(*by, "__s").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    rows = rows.withColumn("n_recent", F.count("*").over(w)).where("__own").drop("__s", "__own")
+    return rows.withColumn("fires", F.col("n_recent") >= count)
 
 
 def rate_limited(df: DataFrame, most: int, seconds: int, by: tuple[str, ...] = ("org_id",)) -> DataFrame:
