@@ -15,14 +15,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexar.session import ship
+
 from .common import text_of
 
 #: The seed lexicon and the function words of the grammar.
@@ -129,25 +132,63 @@ def score_text(text: str | None, lex: Lexicon) -> float:
     return 1 / (1 + math.exp(min(lex.prior - total, 700.0)))
 
 
+def _contexts(text: str | None) -> Iterator[tuple[str, int]]:
+    """(word, number of its context) for every word of a text; a context is the word and its neighbours."""
+    words = [t for t in TOKEN.findall((text or "").lower()) if t not in ".!?;\n"]
+    for a, w, b in zip(["", *words], words, [*words[1:], ""]):
+        yield w, hash((a, w, b))
+
+
+def _frequent(texts: list[str | None]) -> set[str]:
+    """Terms that occur LEAST_CONTEXTS times or more. Terms are words and stems, the latter with a star."""
+    words: Counter[str] = Counter()
+    for text in texts:
+        words.update(t for t in TOKEN.findall((text or "").lower()) if t not in ".!?;\n")
+    stems: Counter[str] = Counter()
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[f"{w[:k]}*"] += n
+    return {t for c in (words, stems) for t, n in c.items() if n >= LEAST_CONTEXTS}
+
+
+def _gather(texts: list[str | None], most: dict[str, float]) -> tuple[dict[str, set[int]], int]:
+    """(contexts of each term in most, number of different contexts of all words). A term with more contexts than its
+    number in most is decided, and no more of them are kept."""
+    seen: dict[str, set[int]] = {t: set() for t in most}
+    left = dict(seen)
+    every = []
+    for text in texts:
+        own = []
+        for w, context in _contexts(text):
+            own.append(context)
+            for term in (w, *(f"{w[:n]}*" for n in STEMS if len(w) > n)):
+                if (s := left.get(term)) is not None:
+                    s.add(context)
+                    if len(s) > most[term]:
+                        del left[term]
+        every.append(np.unique(np.array(own, np.int64)))
+    return seen, len(np.unique(np.concatenate(every))) if every else 0
+
+
 def learn(rows: Iterable[tuple[str | None, int]]) -> Lexicon:
-    """A lexicon from (text, label 0 or 1). Without both labels it is the seed lexicon."""
-    seen: tuple[dict[str, set[int]], ...] = (defaultdict(set), defaultdict(set))
-    texts = [0, 0]
-    known: tuple[set[int], set[int]] = (set(), set())
+    """A lexicon from (text, label 0 or 1). Without both labels it is the seed lexicon.
+
+    Toxic texts come first: only terms with enough contexts there are then looked for in the others."""
+    split: tuple[list, list] = ([], [])
     for text, label in rows:
-        words = [t for t in TOKEN.findall((text or "").lower()) if t not in ".!?;\n"]
-        texts[label] += 1
-        for a, w, b in zip(["", *words], words, [*words[1:], ""]):
-            context = hash((a, w, b))
-            known[label].add(context)
-            seen[label][w].add(context)
-            for n in STEMS:
-                if len(w) > n:
-                    seen[label][w[:n] + "*"].add(context)
+        split[label].append(text)
+    texts = [len(s) for s in split]
     lex = Lexicon()
     if not all(texts):
         return lex
-    total = [max(len(k), 1) for k in known]
+    toxic, n1 = _gather(split[1], dict.fromkeys(_frequent(split[1]), math.inf))
+    toxic = {t: c for t, c in toxic.items() if len(c) >= LEAST_CONTEXTS}
+    # beyond these numbers a term's share of toxic contexts is too small, whatever else comes
+    most = {t: len(c) * (1 / LEAST_SHARE - 1) for t, c in toxic.items()}
+    most |= {w: max(most.get(w, 0), len(toxic.get(w, ())), LEAST_CONTEXTS) for w in INSULTS}
+    harmless, n0 = _gather(split[0], most)
+    seen, total = (harmless, toxic), (max(n0, 1), max(n1, 1))
     share = total[1] / sum(total)
 
     def weight(term: str) -> float | None:
@@ -195,6 +236,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Null, empty and wordless texts get the prior's score. Repeated rows and ids give a row each; a null id is not
     held out. An empty documents table gives an empty result; an empty labels table leaves the seed lexicon.
     """
+    ship(docs.sparkSession)
     lex = lexicon or train(docs, labels, id_col, text_col, label_col)
 
     @F.pandas_udf("double")
