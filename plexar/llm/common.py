@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexar.session import ship
+
 #: A word is a run of characters that are none of these.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -54,7 +56,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "/tmp/checkpoints/plexar"
         spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.plexar.scratch.own", "true")
     return found.rstrip("/")
 
 
@@ -66,6 +67,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/plexar-{uuid.uuid4().hex}"
         self.n = 0

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexar.session import ship
+
 from .common import text_of
 
 #: How HTML elements lay out.
@@ -246,6 +248,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null, empty and textless pages give an empty text. Repeated rows and ids give a row each. An empty table gives an
     empty result. Pages do not influence each other; nothing is shuffled or capped.
     """
+    ship(pages.sparkSession)
     net = weights()
 
     @F.pandas_udf("string")

@@ -12,12 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexar.session import ship
+
 from .common import fresh, text_of, words_in
 
 SYMBOLS = "#*$%&|<>"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Rows on which costs and rejections are estimated: the first that the scan meets. They decide the order only.
 SAMPLE_ROWS = 400
+#: Longer texts are left out of that sample (not of anything else), so that it stays small.
+SAMPLE_CHARS = 200_000
 
 
 class Features:
@@ -111,7 +115,8 @@ def verdict(f: Features, rules) -> str | None:
 
 
 def _sample(docs: DataFrame, text_col: str) -> list[str]:
-    return [r[0] for r in docs.select(text_of(text_col)).limit(SAMPLE_ROWS).collect()]
+    some = docs.where(F.length(text_of(text_col)) <= SAMPLE_CHARS).select(text_of(text_col)).limit(SAMPLE_ROWS)
+    return [r[0] for r in some.collect()]
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
@@ -122,6 +127,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     has no line with a word), base_failed true. Repeated rows and ids give a row each. An empty table gives an empty
     result. The sample decides the order of rules, never a result.
     """
+    ship(docs.sparkSession)
     rest = order_rules(_sample(docs, text_col), [r for r in rules if not r.base])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,6 +151,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules=RULES) -> Data
 
     Only the text goes to Python, as one boolean comes back. Corner cases as in ``quality_report``.
     """
+    ship(docs.sparkSession)
     ordered = order_rules(_sample(docs, text_col), rules)
 
     @F.pandas_udf("boolean")

@@ -39,6 +39,8 @@ FUTURES = "will shall gonna going should must".split()
 SEED_WEIGHT = 3.5
 #: Labelled texts that the lexicon is learnt from: those of the least hashed ids, up to this many.
 TRAIN_ROWS = 6000
+#: Longer labelled texts teach nothing (they are scored like any other), so that what reaches the driver is bounded.
+TRAIN_CHARS = 100_000
 #: A learnt term: occurrences in different contexts, share of them in toxic texts, and evidence (G squared).
 LEAST_CONTEXTS, LEAST_SHARE, LEAST_EVIDENCE, MOST_WEIGHT = 6, 0.85, 30.0, 6.0
 #: A term that does occur in harmless texts counts by this share of its log odds: toxic texts hold several, a
@@ -222,10 +224,12 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learns from labelled rows that are not held out, up to TRAIN_ROWS ids by hash; that many ids reach the driver.
-    Rows of null id, text or label teach nothing."""
+    Rows of null id, text or
+    label teach nothing, nor do texts of more than TRAIN_CHARS characters."""
     few = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out("k"))
     few = few.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(TRAIN_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), F.col("id") == F.col("k"))
+    rows = rows.where(F.length("text") <= TRAIN_CHARS)
     return learn((r[0], int(r[1])) for r in rows.select("text", "y").dropDuplicates().limit(2 * TRAIN_ROWS).toLocalIterator())
 
 
