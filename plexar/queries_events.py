@@ -106,8 +106,8 @@ def event_rate(t):
 
 @query("""WITH c AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL),
 l AS (SELECT *, lag(n, 2) OVER w AS a, lag(n, 1) OVER w AS b FROM c WINDOW w AS (PARTITION BY event_type ORDER BY window_start))
-SELECT window_start, event_type, n, CASE WHEN a IS NULL THEN 'stable' WHEN n > 1.5 * a THEN 'increasing' WHEN n < 0.5 * a THEN 'decreasing'
-  WHEN (a * a + b * b + n * n) / 3.0 - ((a + b + n) / 3.0) * ((a + b + n) / 3.0) > 0.3 * a + 1e-9 THEN 'volatile' ELSE 'stable' END AS trend FROM l""")
+SELECT window_start, event_type, n, CASE WHEN a IS NULL THEN 'stable' WHEN 2 * n > 3 * a THEN 'increasing' WHEN 2 * n < a THEN 'decreasing'
+  WHEN 10 * (3 * (a * a + b * b + n * n) - (a + b + n) * (a + b + n)) > 27 * a THEN 'volatile' ELSE 'stable' END AS trend FROM l""")
 def event_trend(t):
     return windows.trend(_events(t)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 

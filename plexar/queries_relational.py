@@ -161,7 +161,7 @@ sql_query("join_anti", "customer", "orders", spark="SELECT c_custkey FROM custom
           duck="SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
 sql_query("join_theta", "supplier", "nation", spark="SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey < n_nationkey AND s_acctbal > 5000")
 sql_query("join_using_natural", "nation", "region", spark="""SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) n JOIN (SELECT r_regionkey AS k, r_name FROM region) r USING (k)""")
-sql_query("join_where_star", "lineitem", "orders", "customer", "nation", spark="""SELECT n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+sql_query("join_where_star", "lineitem", "orders", "customer", "nation", spark="""SELECT n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   WHERE l_returnflag = 'R' AND o_totalprice > 1000 GROUP BY n_name""")
 sql_query("join_limit", "customer", "orders", spark="SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey ORDER BY o_orderkey, c_custkey LIMIT 10")

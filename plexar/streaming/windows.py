@@ -28,11 +28,11 @@ def trend(df: DataFrame, width: str = "1 hour", by: tuple[str, ...] = ("event_ty
     w = Window.partitionBy(*by).orderBy("window_start")
     counts = tumbling(df, width, by)
     first, mid = F.lag("n", 2).over(w), F.lag("n", 1).over(w)
-    mean = (first + mid + F.col("n")) / 3
-    var = ((first - mean) * (first - mean) + (mid - mean) * (mid - mean) + (F.col("n") - mean) * (F.col("n") - mean)) / 3
+    total, squares = first + mid + F.col("n"), first * first + mid * mid + F.col("n") * F.col("n")
+    wide = 10 * (3 * squares - total * total) > 27 * first  # variance > 0.3 * first, in whole numbers
     kind = (
-        F.when(first.isNull(), "stable").when(F.col("n") > 1.5 * first, "increasing").when(F.col("n") < 0.5 * first, "decreasing")
-        .when(var > 0.3 * first, "volatile").otherwise("stable"))
+        F.when(first.isNull(), "stable").when(2 * F.col("n") > 3 * first, "increasing").when(2 * F.col("n") < first, "decreasing")
+        .when(wide, "volatile").otherwise("stable"))
     return counts.withColumn("trend", kind)
 
 

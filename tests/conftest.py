@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from plexar.session import session
 
-    s = session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
+    s = session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__showConsoleProgress="false", spark__sql__maxMetadataStringLength="5000")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
