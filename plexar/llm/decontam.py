@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RUN, Scratch, fresh, text_of
+from .common import SPACE_RUN, Scratch, fresh, text_of
 
 PUNCTUATION = ".,;:!?\"'()[]{}"
+PUNCTUATION_RUN = r"[.,;:!?\"'()\[\]{}]+"
 SHINGLE = 5
 #: At similarity 0.8 (an overlap of 8/9) about 10 of 64 bits differ, with a deviation of 3; this is five away.
 RADIUS = 24
@@ -24,8 +25,7 @@ BROADCAST_SHINGLES = 2_000_000
 
 def plain_words(col: str) -> Column:
     """Words lower-cased, without punctuation."""
-    t = F.btrim(F.translate(F.lower(text_of(col)), PUNCTUATION, ""), F.lit(SPACE))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_RUN))
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text_of(col)), PUNCTUATION_RUN, ""), SPACE_RUN), "")
 
 
 def shingles(words: str) -> Column:
