@@ -67,6 +67,23 @@ class Lexicon:
         self.classes = {w: c for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (FUTURE, FUTURES)) for w in words}
         self.classes |= dict.fromkeys(".!?;\n", BREAK) | dict.fromkeys(self.weights, INSULT) | dict.fromkeys(self.threats, THREAT)
 
+        self._marks = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_marks": None}
+
+    def may_hold(self, low: str) -> bool:
+        """Whether a lower-cased text holds the letters of an insult or threat anywhere: one pass over all of them at
+        once. Texts without any have no path that scores."""
+        if self._marks is None:
+            import ahocorasick
+
+            self._marks = ahocorasick.Automaton()
+            for t in (*self.weights, *self.stems, *self.threats):
+                self._marks.add_word(t, 0)
+            self._marks.make_automaton()
+        return len(self._marks) > 0 and next(self._marks.iter(low), None) is not None
+
     def lexical(self, tokens: list[str]) -> list[tuple[int, float]]:
         """The first transducer: (class, weight) of each token."""
         out = []
@@ -127,9 +144,9 @@ def clause_score(clause: list[tuple[int, float]]) -> float:
 
 def score_text(text: str | None, lex: Lexicon) -> float:
     """0 to 1. Null, empty and wordless texts get the prior."""
-    tape = lex.lexical(TOKEN.findall((text or "").lower()))
-    total = 0.0
-    if any(c in (INSULT, THREAT) for c, _ in tape):
+    low, total = (text or "").lower(), 0.0
+    if lex.may_hold(low):
+        tape = lex.lexical(TOKEN.findall(low))
         total = sum(clause_score(c) for c in clauses(tape) if any(k in (INSULT, THREAT) for k, _ in c))
     return 1 / (1 + math.exp(min(lex.prior - total, 700.0)))
 
