@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from plexar.streaming.model import from_clicks
 
+#: How long a queue remembers a message that is silent: a day.
+RETENTION_MS = 86_400_000
+
 
 def read_events(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int = 1) -> DataFrame:
     """A stream of the driver's event files as events."""
@@ -81,18 +84,23 @@ def running_frequency(df: DataFrame, count: int, seconds: int, by: tuple[str, ..
 def deliveries(df: DataFrame, attempts: int = 3, timeout_seconds: int = 30) -> DataFrame:
     """Delivery state of a queue's messages from a stream of (message_id, consumer, action, ts), where action is deliver, ack or
     nack: (consumer, message_id, state, tries). States: in flight, delivered, waiting, dead. A delivery that is not answered
-    within the timeout counts as a nack when the next action comes; a message that failed attempts times is dead."""
+    within the timeout counts as a nack when the next action comes; a message that failed attempts times is dead. A message
+    of which nothing is heard for RETENTION_MS is forgotten, so that state does not grow with the stream."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, tries, since = state.get if state.exists else ("waiting", 0, 0)
         rows = pd.concat(list(pdfs)).sort_values(["ts", "action"])
         for action, ts in zip(rows["action"], rows["ts"]):
             now, tries, since = next_delivery(now, tries, since, action, int(ts.timestamp()), attempts, timeout_seconds)
         state.update((now, tries, since))
+        state.setTimeoutDuration(RETENTION_MS)
         yield pd.DataFrame([(*key, now, tries)], columns=["consumer", "message_id", "state", "tries"])
 
     return df.groupBy("consumer", "message_id").applyInPandasWithState(
-        step, "consumer string, message_id string, state string, tries int", "state string, tries int, since bigint", "update", "NoTimeout")
+        step, "consumer string, message_id string, state string, tries int", "state string, tries int, since bigint", "update", "ProcessingTimeTimeout")
 
 
 def next_delivery(now: str, tries: int, since: int, action: str, ts: int, attempts: int = 3, timeout: int = 30) -> tuple[str, int, int]:
