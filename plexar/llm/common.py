@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from plexar.session import ship
 
-#: A word is a run of characters that are none of these.
-SPACE = " \t\n\x0b\x0c\r"
+#: What separates words; a word is a run of other characters.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -22,14 +21,12 @@ def text_of(col: Column | str) -> Column:
 
 def words_of(col: Column | str) -> Column:
     """Array of words, empty for null, empty or blank texts."""
-    t = F.btrim(text_of(col), F.lit(SPACE))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE_RUN))
+    return F.array_remove(F.split(text_of(col), SPACE_RUN), "")
 
 
 def word_count(col: Column | str) -> Column:
     """Number of words, as long."""
-    t = F.btrim(text_of(col), F.lit(SPACE))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACE_RUN))).cast("long")
+    return F.size(words_of(col)).cast("long")
 
 
 def words_in(text: str) -> list[bytes]:
