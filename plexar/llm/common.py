@@ -92,6 +92,10 @@ class Scratch:
             return
 
 
+#: Links in a file of a round's tables.
+ROWS_PER_FILE = 100_000
+
+
 def components(spark: SparkSession, scratch: Scratch, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star rounds.
 
@@ -109,22 +113,24 @@ def components(spark: SparkSession, scratch: Scratch, links: DataFrame, max_roun
 
     before = signature(edges)
     for _ in range(max_rounds):
+        files = before[0] // ROWS_PER_FILE + 1  # rounds over few links do not write a file for every partition
         # large star: every neighbour above a node goes to the node's least neighbour (or itself)
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = scratch.save(
-            both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least"
+            both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")).coalesce(files), "least"
         )
         large = scratch.save(
-            edges.join(least, edges.b == least.n).where("a <> m").select("a", F.col("m").alias("b")).distinct(), "large"
+            edges.join(least, edges.b == least.n).where("a <> m").select("a", F.col("m").alias("b")).distinct().coalesce(files), "large"
         )
         # small star: a node's smaller neighbours and itself go to the least of them
-        low = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"), "low")
+        low = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n").coalesce(files), "low")
         small = scratch.save(
             large.join(low, large.a == low.n)
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*")
             .where("a <> b")
-            .distinct(),
+            .distinct()
+            .coalesce(files),
             "small",
         )
         scratch.drop(edges, least, large, low)
