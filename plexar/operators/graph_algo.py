@@ -3,6 +3,7 @@ to the driver is a count."""
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +53,22 @@ def bfs(links: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
     return seen
 
 
-def shortest_paths(links: DataFrame, source: str, max_rounds: int = 50, weight: str | None = None) -> DataFrame:
+def shortest_paths(links: DataFrame, source: str, max_rounds: int | None = None, weight: str | None = None) -> DataFrame:
     """(node, cost, previous): least cost from the source to every node it reaches; hops where no weight is named.
 
-    Weights must not be negative. Of equal costs the least previous node is kept."""
+    Weights must not be negative; negative ones raise, as rounds would not end. Of equal costs the least previous node is
+    kept. Rounds go on until nothing changes; where max_rounds is given and does not suffice, this raises."""
     spark = links.sparkSession
     rounds = Rounds(spark)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     pairs = rounds.save(links.select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "links")
     best = rounds.save(spark.createDataFrame([(source, 0.0, None)], "node string, cost double, previous string"), "best")
+    if pairs.where("w < 0").limit(1).count():
+        raise ValueError("shortest_paths: negative weight")
     front = best
-    for _ in range(max_rounds):
+    for done in itertools.count():
+        if max_rounds is not None and done >= max_rounds:
+            raise RuntimeError("shortest_paths: no fixed point within the rounds")
         step = pairs.join(front.select(F.col("node").alias("src"), "cost"), "src")
         step = step.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("previous"))).alias("b"))
         step = step.select("node", "b.cost", "b.previous")
