@@ -65,7 +65,8 @@ def train_centroids(x: np.ndarray, cells: int, rounds: int, seed: int = 3) -> np
 class IvfIndex:
     """Rows in a table partitioned by cell, centroids and removed keys beside it. Every row is indexed.
 
-    ``effort`` of a search (ef) becomes the number of cells probed; with all cells it equals the exact search.
+    ``effort`` of a search (ef) becomes the number of cells probed, one for 8; with all cells it equals the exact search.
+    Without it, five eighths of the cells and two more are probed: vectors without clusters need as many for a recall of 0.9.
     """
 
     spark: SparkSession
@@ -123,7 +124,9 @@ class IvfIndex:
         return self.spark.read.parquet(f"{self.path}/removed") if there else None
 
     def probes(self, k: int, ef: int | None) -> int:
-        ef = min(max(ef or 64, k), 8192)
+        if not ef:
+            return min(len(self.centroids), -(-5 * len(self.centroids) // 8) + 2)
+        ef = min(max(ef, k), 8192)
         return min(len(self.centroids), max(1, ef // 8))
 
     def search(self, target: Sequence[float], k: int = 10, ef: int | None = None) -> DataFrame:

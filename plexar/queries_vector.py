@@ -101,7 +101,7 @@ def vector_index_recall(t):
     index = _index(t)
     q = t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = nn.knn_join(q, t("embeddings"), 10, "l2", "query_id", "vec_id")
-    found = index.search_many(q, 10, ef=8 * max(1, len(index.centroids) * 3 // 4))
+    found = index.search_many(q, 10)
     r = nn.recall(found, exact, "query_id", "vec_id")
     return r.agg((F.avg("recall") >= 0.9).alias("enough"), F.count("*").alias("queries"))
 
