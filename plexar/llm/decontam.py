@@ -76,7 +76,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     Plan: shingle hashes are exploded from the scan as (document, position, hash) and meet the benchmark's shingles
     (broadcast up to BROADCAST_SHINGLES rows) at once, so only hits are shuffled; windows join the texts by document.
     """
-    scratch = scratch or Scratch(docs.sparkSession)
+    found = _matches(docs, bench, id_col, text_col, item_col, item_text, similarity, scratch or Scratch(docs.sparkSession))
+    best = found.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "len")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.s")).alias("start"), F.col("b.len").alias("n_words"), F.col("b.similarity").alias("similarity"))
+
+
+def _matches(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, similarity: float, scratch: Scratch) -> DataFrame:
+    """Every matching window, by (id, th), th the hash of the text."""
     items = bench.select(F.col(item_col).alias("item"), plain_words(item_text).alias("w"))
     items = items.where(F.size("w") >= SHINGLE).groupBy("w").agg(F.min("item").alias("item"))
     items = scratch.save(items.select("item", F.size("w").alias("len"), shingles("w").alias("ish")), "items")
@@ -102,17 +108,20 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     agree = F.exists(F.array(*[F.lit(m).cast("long") for m in block_masks()]), lambda m: differ.bitwiseAND(m) == 0)
     near = pairs.where(agree & (F.bit_count(differ) <= RADIUS)).withColumn("both", overlap("wsh", "ish"))
     near = near.withColumn("similarity", F.col("both") / (F.size("wsh") + F.size("ish") - F.col("both")))
-    best = near.where(F.col("similarity") >= similarity).groupBy("id", "item").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("s"), "len")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.s")).alias("start"), F.col("b.len").alias("n_words"), F.col("b.similarity").alias("similarity"))
+    return near.where(F.col("similarity") >= similarity)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", similarity: float = 0.8) -> DataFrame:
+                  item_text: str = "text", similarity: float = 0.8, by_text: bool = False) -> DataFrame:
     """The rows of docs that match no benchmark item, all columns unchanged. All rows of a matching id go, and all
-    rows of null id if one of them matches."""
+    rows of null id if one of them matches; with by_text only rows whose own text matches, whatever ids repeat or are
+    null."""
     scratch = Scratch(docs.sparkSession)
-    (k,) = fresh(docs, "id")
+    k, k_th = fresh(docs, "id", "th")
+    if by_text:
+        found = _matches(docs, bench, id_col, text_col, item_col, item_text, similarity, scratch)
+        found = scratch.save(found.select(F.col("id").alias(k), F.col("th").alias(k_th)).distinct(), "found")
+        return docs.join(found, F.col(id_col).eqNullSafe(F.col(k)) & (F.xxhash64(text_of(text_col)) == F.col(k_th)), "left_anti")
     found = contaminated(docs, bench, id_col, text_col, item_col, item_text, similarity, scratch)
     found = scratch.save(found.select(F.col(id_col).alias(k)).distinct(), "found")
     return docs.join(found, F.col(id_col).eqNullSafe(F.col(k)), "left_anti")
