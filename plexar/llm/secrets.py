@@ -19,6 +19,7 @@ from .common import fresh, text_of, words_of
 
 #: What a candidate is, the dictionary, and the telling neighbours.
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+RUN = f"(?<![A-Za-z0-9+/_\\-])({CANDIDATE})(?![A-Za-z0-9+/_\\-=])"
 LEAST_TOKEN = 16
 DICTIONARY = (
     "example sample test demo dummy change fake your secret token password passwd key api access auth admin user name "
@@ -33,16 +34,18 @@ FEATURES = ("length", "digits", "uppers", "hexes", "transitions", "distinct", "d
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """(id, word, token, value, before, after, path): words of LEAST_TOKEN characters or more with a digit that hold a
-    run of CANDIDATE; word is the place among the words, value the run, before the two words ahead."""
+    """(id, word, token, value, rest, before, after, path): every run of CANDIDATE with a digit, in words of LEAST_TOKEN
+    characters or more; word is the place among the words, value the run, rest the word from the end of the run before
+    it, before the words ahead."""
     rows = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("w"), (F.col(path_col).cast("string") if path_col else F.lit("")).alias("path"))
     at = F.filter(F.transform("w", lambda x, i: F.when((F.length(x) >= LEAST_TOKEN) & x.rlike("[0-9]"), i).otherwise(-1)), lambda i: i >= 0)
     word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     rows = rows.select("id", "path", "w", F.explode(at).alias("i")).select(
         "id", "path", F.col("i").alias("word"), word(F.col("i")).alias("token"),
         F.concat_ws(" ", word(F.col("i") - 3), word(F.col("i") - 2), word(F.col("i") - 1)).alias("before"), word(F.col("i") + 1).alias("after"))
-    rows = rows.withColumn("value", F.regexp_extract("token", f"(?:^|[^A-Za-z0-9+/_\\-])({CANDIDATE})(?:[^A-Za-z0-9+/_\\-=]|$)", 1))
-    return rows.where(F.col("value").rlike("[0-9]"))
+    rows = rows.withColumn("runs", F.filter(F.regexp_extract_all("token", F.lit(RUN), F.lit(1)), lambda x: x.rlike("[0-9]")))
+    rows = rows.select("*", F.posexplode("runs").alias("at", "value"))
+    return rows.withColumn("rest", F.expr("aggregate(slice(runs, 1, at), token, (a, r) -> substring(a, instr(a, r) + length(r)))")).drop("runs", "at", "w", "i")
 
 
 def with_features(c: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def with_features(c: DataFrame) -> DataFrame:
     share = lambda keep: F.length(F.regexp_replace(v, f"[^{keep}]", "")) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     near = lambda words, where: where.rlike(r"(?i)(^|[^a-z0-9])(" + "|".join(words.split()) + r")([^a-z0-9]|$)")
-    head = F.concat_ws(" ", "before", F.regexp_extract("token", r"^(.*?)[=:]", 1))
+    head = F.concat_ws(" ", "before", F.regexp_extract("rest", r"^(.*?)[=:]", 1))
     return c.withColumns({
         "length": n,
         "digits": share("0-9"), "uppers": share("A-Z"), "hexes": share("0-9a-f"),
@@ -168,7 +171,7 @@ def _forest_sql(rows: tuple) -> str:
     spark = SparkSession.getActiveSession()
     table = spark.createDataFrame([(i, t, b, a, p, y) for i, (t, b, a, p, y) in enumerate(rows)], "i int, token string, before string, after string, path string, y int")
     value = F.regexp_extract("token", f"(?:^|[^A-Za-z0-9+/_\\-])({CANDIDATE})(?:[^A-Za-z0-9+/_\\-=]|$)", 1)
-    table = with_features(table.withColumn("value", value).where(F.col("value") != ""))
+    table = with_features(table.withColumn("value", value).withColumn("rest", F.col("token")).where(F.col("value") != ""))
     got = np.array(table.orderBy("i").select("y", *FEATURES).collect(), float)
     trees = fit_forest(got[:, 1:], got[:, 0])
     return "(" + " + ".join(map(_sql, trees)) + f") / {len(trees)}D"
@@ -183,8 +186,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
          findings: list | None = None) -> DataFrame:
     """(id, word, value, score, is_secret): every candidate of the whole texts, with the forest's score.
 
-    Candidates are runs of 16 or more letters, digits, +, /, _ and -, with a digit, within one word; word is the place
-    among the text's words. Features: length, shares of digits, capitals and hexadecimal digits, character-class
+    Candidates are all runs of 16 or more letters, digits, +, /, _ and -, with a digit, within one word, not followed by
+    = and a value; word is the place among the text's words. Features: length, shares of digits, capitals and hexadecimal digits, character-class
     transitions, distinct characters, dictionary coverage, neighbouring words, and the path (path_col). Null, empty and
     short texts have no candidates; a null path is an empty one. Repeated rows give their findings each. An empty
     table gives an empty result.
