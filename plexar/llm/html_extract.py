@@ -33,7 +33,9 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript iframe object svg canvas math head title select textarea audio video map".split())
+SILENT = frozenset("script style template noscript iframe object svg canvas annotation annotation-xml head title select textarea audio video map".split())
+#: What may stand in a head; any other tag begins the body, as </head> may be left out.
+IN_HEAD = frozenset("head title meta link base style script noscript template basefont bgsound noframes".split())
 #: An opening tag of the first kind ends an open element of the second.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that closing or ending tags inside them do not reach beyond.
@@ -84,8 +86,12 @@ class Leaves(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" and self.silent and self.silent[0] in ("head", "title"):
+            self.silent.clear()
+        if self.silent == ["head"] and tag not in IN_HEAD:
+            self.silent.clear()
         if self.silent:
-            if tag == self.silent[-1] and tag not in VOID:
+            if (tag == self.silent[-1] or self.silent == ["head"] and tag in SILENT) and tag not in VOID:
                 self.silent.append(tag)
             return
         if tag in SILENT:
@@ -113,7 +119,9 @@ class Leaves(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
-            if tag == self.silent[-1]:
+            if tag == "head" and self.silent[0] == "head":
+                self.silent.clear()
+            elif tag == self.silent[-1]:
                 self.silent.pop()
             return
         if tag in BLOCKS:
@@ -126,10 +134,15 @@ class Leaves(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag == "br":
             self.handle_starttag(tag, attrs)
+        elif tag in ("svg", "math") or any(t == "math" for t, _ in self.stack):  # closed in foreign content
+            if self.silent == ["head"]:
+                self.silent.clear()
         else:  # a slash in an ordinary opening tag means nothing in HTML
             self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
+        if self.silent == ["head"] and data.strip():  # text begins the body
+            self.silent.clear()
         if self.silent:
             return
         if not self.parts:
@@ -138,6 +151,12 @@ class Leaves(HTMLParser):
         if self.links:
             self.link_chars += len(data.strip())
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a declaration that the parser does not know is a comment up to the next >
+            return self.parse_bogus_comment(i)
+
     def unknown_decl(self, data: str) -> None:
         return
 
