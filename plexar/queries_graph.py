@@ -62,6 +62,11 @@ def cypher_variable_length(t):
     return cypher.run(_graph(t), "MATCH (c:customer)-[*1..3]->(r:region) WHERE c.c_custkey < 100 RETURN c.c_custkey AS c, r.r_name AS r")
 
 
+@query("SELECT c_custkey AS c, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def cypher_variable_length_whole(t):
+    return cypher.run(_graph(t), "MATCH (c:customer)-[*1..3]->(r:region) RETURN c.c_custkey AS c, r.r_name AS r")
+
+
 @query("SELECT DISTINCT n_name AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey ORDER BY n LIMIT 12")
 def cypher_distinct(t):
     return cypher.run(_graph(t), "MATCH (s:supplier)-[:IN_NATION]->(n:nation) RETURN DISTINCT n.n_name AS n ORDER BY n.n_name LIMIT 12")
