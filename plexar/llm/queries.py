@@ -101,14 +101,17 @@ SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_byte
   CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id <> min(page_id) OVER p THEN min(page_id) OVER p END AS refers_to
 FROM pages WINDOW p AS (PARTITION BY coalesce(html, ''))""",
     "op8_unit_dedup": r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
-o AS (SELECT doc_id, line, length(line)::BIGINT AS n_chars, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1)::BIGINT AS start,
-  regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM e),
-k AS (SELECT doc_id, start, n_chars, len(w)::BIGINT AS n_words, array_to_string(w, ' ') AS norm FROM o WHERE len(w) >= 5),
-f AS (SELECT norm, min({'i': doc_id, 's': start}) AS f FROM k GROUP BY norm)
-SELECT k.doc_id, k.start, k.n_chars, k.n_words, f.f.i AS first_doc_id, f.f.s AS first_start
-FROM k JOIN f USING (norm) WHERE k.doc_id <> f.f.i OR k.start <> f.f.s""",
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?。！？\n]+[.!?。！？]*|[.!?。！？]+|\n') AS us FROM documents),
+e AS (SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS pos FROM l),
+w AS (SELECT *, regexp_extract_all(lower(unit), '[^\x20\x09-\x0D]+') AS w FROM e),
+o AS (SELECT doc_id, pos, w, length(unit)::BIGINT AS n_chars, len(w)::BIGINT AS n_words, (sum(length(unit)) OVER p - length(unit))::BIGINT AS start,
+  (sum(len(w)) OVER p - len(w))::BIGINT AS word FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+k AS (SELECT *, array_to_string(w, ' ') AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM o WHERE n_words >= 4),
+f AS (SELECT norm, min({'i': doc_id, 's': start}) AS f FROM k GROUP BY norm),
+d AS (SELECT k.*, f.f.i AS first_doc_id, f.f.s AS first_start, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run
+  FROM k JOIN f USING (norm) WHERE k.doc_id <> f.f.i OR k.start <> f.f.s)
+SELECT doc_id, start, n_chars, n_words, first_doc_id, first_start FROM d
+QUALIFY max(word + n_words) OVER (PARTITION BY doc_id, run) - min(word) OVER (PARTITION BY doc_id, run) >= 25""",
     "op10_quality": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),

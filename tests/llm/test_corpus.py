@@ -420,15 +420,15 @@ def test_warc_damage():
 def test_units(spark, odd):
     rows = [(1, "One two three four five\nshort\n\nSix seven eight nine ten"), (2, "x y z v w q\n  ONE  two three\tfour FIVE \nshort\nSix seven eight nine ten"), (3, "Six seven eight nine ten\nSix seven eight nine ten\ntail of five words here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((x["id"], x["start"], x["n_chars"], x["n_words"], x["first_id"], x["first_start"]) for x in unit_dedup.duplicate_units(df).collect())
+    got = sorted((x["id"], x["start"], x["n_chars"], x["n_words"], x["first_id"], x["first_start"]) for x in unit_dedup.duplicate_units(df, unit="line", min_run=0).collect())
     assert got == [(2, 12, 27, 5, 1, 0), (2, 46, 24, 5, 1, 31), (3, 0, 24, 5, 1, 31), (3, 25, 24, 5, 1, 31)]
-    clean = {x["doc_id"]: x["text"] for x in unit_dedup.remove_units(df).collect()}
+    clean = {x["doc_id"]: x["text"] for x in unit_dedup.remove_units(df, unit="line", min_run=0).collect()}
     assert clean == {1: rows[0][1], 2: "x y z v w q\nshort", 3: "tail of five words here"}
-    spans = {x["doc_id"]: [rows[x["doc_id"] - 1][1][a : a + n] for a, n in x["removed"]] for x in unit_dedup.remove_units(df).collect()}
+    spans = {x["doc_id"]: [rows[x["doc_id"] - 1][1][a : a + n] for a, n in x["removed"]] for x in unit_dedup.remove_units(df, unit="line", min_run=0).collect()}
     assert spans[3] == ["Six seven eight nine ten"] * 2 and spans[1] == []
     p = spark.createDataFrame([(1, "a b c d e\nf\n\nnext one here and there"), (2, "pre pre pre pre pre\n \nA b c d e\nF")], "doc_id long, text string")
-    assert [(x["id"], x["start"]) for x in unit_dedup.duplicate_units(p, unit="paragraph").collect()] == [(2, 22)]
-    assert {x["doc_id"]: x["text"] for x in unit_dedup.remove_units(p, unit="paragraph").collect()}[2] == "pre pre pre pre pre"
+    assert [(x["id"], x["start"]) for x in unit_dedup.duplicate_units(p, unit="paragraph", min_run=0).collect()] == [(2, 22)]
+    assert {x["doc_id"]: x["text"] for x in unit_dedup.remove_units(p, unit="paragraph", min_run=0).collect()}[2] == "pre pre pre pre pre"
     out = unit_dedup.remove_units(odd).collect()
     assert len(out) == odd.count() and {x["text"] for x in out if x["doc_id"] == 2} == {""} and all(x["removed"] == [] for x in out if x["doc_id"] in (1, 6))
     assert unit_dedup.duplicate_units(none(spark)).count() == 0 and unit_dedup.remove_units(none(spark)).count() == 0
