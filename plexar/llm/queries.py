@@ -84,15 +84,16 @@ SELECT l.doc_id, len(l.ls)::INT AS n_lines, coalesce(n.n, 0)::INT AS n_removed,
 FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op6_decontaminate": f"""
 WITH i0 AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
-i AS (SELECT min(item_id) AS item_id, w, len(w) AS len FROM i0 WHERE len(w) >= 5 GROUP BY w),
-ig AS (SELECT item_id, len, q, array_to_string(w[q + 1 : q + 5], ' ') AS g FROM i, unnest(range(len - 4)) AS t(q)),
+i AS (SELECT min(item_id) AS item_id, w, len(w) AS len, least(len(w), 5) AS k FROM i0 WHERE len(w) >= 1 GROUP BY w),
+ig AS (SELECT item_id, len, k, q, array_to_string(w[q + 1 : q + k], ' ') AS g FROM i, unnest(range(len - k + 1)) AS t(q)),
 ic AS (SELECT item_id, g, count(*) AS n FROM ig GROUP BY ALL),
 d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
-dg AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p + 1 : p + 5], ' ') AS g FROM d, unnest(range(greatest(len(w) - 4, 0))) AS t(p)),
-win AS (SELECT DISTINCT doc_id, item_id, len, greatest(0, least(p - q, n - len)) AS start FROM dg JOIN ig USING (g)),
-wg AS (SELECT win.doc_id, win.item_id, win.len, win.start, dg.g, count(*) AS n FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.p >= win.start AND dg.p <= win.start + win.len - 5 GROUP BY ALL),
-sim AS (SELECT wg.doc_id, wg.item_id, wg.len, wg.start, sum(least(wg.n, coalesce(ic.n, 0))) AS shared, sum(wg.n) AS m FROM wg LEFT JOIN ic ON ic.item_id = wg.item_id AND ic.g = wg.g GROUP BY ALL),
-v AS (SELECT doc_id, item_id, start, len, shared::DOUBLE / (m + len - 4 - shared)::DOUBLE AS s FROM sim)
+dg AS (SELECT doc_id, k, len(w) AS n, p, array_to_string(w[p + 1 : p + k], ' ') AS g FROM d, (SELECT DISTINCT k FROM i) AS ks, unnest(range(greatest(len(w) - k + 1, 0))) AS t(p)),
+win AS (SELECT DISTINCT doc_id, k, len, greatest(0, least(p - q, n - len)) AS start FROM dg JOIN ig USING (k, g)),
+pair AS (SELECT doc_id, item_id, k, len, start FROM win JOIN i USING (k, len)),
+wg AS (SELECT pair.doc_id, pair.item_id, pair.k, pair.len, pair.start, dg.g, count(*) AS n FROM pair JOIN dg ON dg.doc_id = pair.doc_id AND dg.k = pair.k AND dg.p >= pair.start AND dg.p <= pair.start + pair.len - pair.k GROUP BY ALL),
+sim AS (SELECT wg.doc_id, wg.item_id, wg.k, wg.len, wg.start, sum(least(wg.n, coalesce(ic.n, 0))) AS shared, sum(wg.n) AS m FROM wg LEFT JOIN ic ON ic.item_id = wg.item_id AND ic.g = wg.g GROUP BY ALL),
+v AS (SELECT doc_id, item_id, start, len, shared::DOUBLE / (m + len - k + 1 - shared)::DOUBLE AS s FROM sim)
 SELECT doc_id, item_id, start::INT AS start, len::INT AS n_words, s AS similarity FROM v WHERE s >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) = 1""",
     "op7_warc": """

@@ -313,24 +313,25 @@ def plain(text):
     return [w for w in SPACE.findall("".join(c for c in (text or "").lower() if c not in decontam.PUNCTUATION))]
 
 
-def grams(w):
-    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+def grams(w, k=5):
+    return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
 
 
 def brute_leaks(docs, items):
     least = {}
     for i, t in items:
         w = tuple(plain(t))
-        if len(w) >= 5:
+        if w:
             least[w] = min(least.get(w, i), i)
     out = set()
     for d, t in docs:
         w = plain(t)
         for iw, i in least.items():
-            g = collections.Counter(grams(list(iw)))
+            k = min(len(iw), 5)
+            g = collections.Counter(grams(list(iw), k))
             best = None
             for s in range(max(len(w) - len(iw), 0) + 1):
-                c = collections.Counter(grams(w[s : s + len(iw)]))
+                c = collections.Counter(grams(w[s : s + len(iw)], k))
                 both, all_ = sum((c & g).values()), sum((c | g).values())
                 if c and both / all_ >= 0.8 and (best is None or both / all_ > best[0]):
                     best = (both / all_, s)
@@ -370,9 +371,44 @@ def test_decontamination_odd(spark, odd, bench):
     assert decontam.contaminated(none(spark), bench).count() == 0 and decontam.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
-def test_block_masks():
-    masks = [m & ((1 << 64) - 1) for m in decontam.block_masks()]
-    assert len(masks) == decontam.RADIUS + 1 and sum(masks) == (1 << 64) - 1
+def test_blocks_hold_the_radius(spark):
+    """Every fingerprint within RADIUS meets in a block, and is taken once; the keys select."""
+    assert decontam.BLOCKS * (decontam.ERRORS + 1) > decontam.RADIUS and decontam.block_edges()[-1] == 64
+    r = random.Random(8)
+    rows = []
+    for k in range(300):
+        a = r.getrandbits(64)
+        b = a ^ sum(1 << x for x in r.sample(range(64), r.randint(0, decontam.RADIUS)))
+        rows.append((k, *(x - (1 << 64) if x >= 1 << 63 else x for x in (a, b)), 30))
+    df = spark.createDataFrame(rows, "k int, a long, b long, len int")
+    filed = df.select("k", "a", F.explode(decontam.near_keys("a", "len")).alias("key"))
+    met = df.select(F.col("k").alias("k2"), "b", F.explode(decontam.own_keys("b", "len")).alias("x")).join(filed, F.col("x.key") == F.col("key"))
+    met = met.where(decontam.first_block("a", "b") == F.col("x.b"))
+    assert met.where("k = k2").count() == 300 and met.where("k <> k2").count() < 0.8 * 300 * 299
+
+
+def test_short_items(spark):
+    """Items of fewer than five words match their very words."""
+    d = spark.createDataFrame([(1, "say Yes, or no! now"), (2, "yes or"), (3, "yes or no"), (4, "yes or not"), (5, "it is so")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "Yes or no"), (2, "so"), (3, "!")], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"], x["start"], x["n_words"]) for x in decontam.contaminated(d, b).collect()} == {(1, 1, 1, 3), (3, 1, 0, 3), (5, 2, 2, 1)}
+
+
+def test_items_found_at_the_limit(spark):
+    """Of windows whose similarity lies between 0.8 and 0.9, at least 99 in 100 are found by their fingerprints."""
+    r = random.Random(12)
+    items = [(k, words(r.randint(20, 60), f"limit{k}")) for k in range(60)]
+    docs = []
+    for k, t in items:
+        for c in range(5):
+            w = t.split()
+            w[r.randrange(len(w))] = f"changed{c}"
+            docs.append((1000 * k + c, " ".join([*words(r.randint(0, 9), f"before{k}{c}").split(), *w, "end"])))
+    want = brute_leaks(docs, items)
+    want = {x[:2] for x in want if x[3] < 0.9}
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]) for x in found.collect()}
+    assert len(want) > 100 and len(want & got) >= 0.99 * len(want)
 
 
 # --- 7
