@@ -1,17 +1,19 @@
 """SimHash near-dedup with a Gray-order hierarchical index over masked bit patterns.
 
-Fingerprints within ``radius`` bits of each other agree on at least two of ``radius + 2`` blocks of bits. The upper
-nodes of the index are these shared masked patterns: for every pair of blocks, the fingerprints with the same bits
-there. A node with more than NODE members is divided into chunks and worked on as pairs of chunks, so that its size
-never decides what one task holds. Below a node, fingerprints are sorted by Gray rank and cut into groups of LEAF,
-groups of groups and so on; each inner node carries the bits that all its members share (``and`` and ``or`` of its
-members). Two nodes are compared by the bits in which all members of one differ from all of the other: beyond the
-radius, the whole pair of groups is pruned; a pair in which even the differing bits of all members together stay
-within the radius is linked as a whole.
+Fingerprints within ``radius`` bits of each other agree on at least one of ``radius + 1`` blocks of bits, on two of
+``radius + 2`` and so on. The upper nodes of the index are these shared masked patterns; with more fingerprints more
+blocks are shared, so that a node's expected size stays below PAGE. Below the patterns, a node's fingerprints are
+sorted by Gray rank over the whole cluster and cut into pages of PAGE, and a page into groups of FAN, groups of groups
+and so on; each group carries the bits that all its members share (``and`` and ``or`` of its members). All links come
+from one descent through these groups: two groups are compared by the bits in which all members of one differ from
+all of the other; beyond the radius, the whole pair of groups is pruned; a pair in which even the differing bits of all
+members together stay within the radius is linked as a whole; any other is opened. Pages of a node that has several
+are paired by the same rule, on groups of pages.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, fresh, text_of
 
-NODE, LEAF, FAN = 2048, 32, 8
+#: Fingerprints of a page, children of a group, pages of a node that are paired at once, and rows a task pairs at once.
+PAGE, FAN, PAGE_FAN, AT_ONCE = 2048, 4, 32, 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -65,73 +68,6 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return r
 
 
-def blocks_of(radius: int) -> list[int]:
-    """Masks of radius + 2 blocks that cover 64 bits."""
-    edges = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
-    return [((1 << b) - (1 << a)) for a, b in itertools.pairwise(edges)]
-
-
-def node_masks(radius: int) -> list[int]:
-    """Masks of the upper nodes: every two blocks; one of them is free of differences for any pair within radius."""
-    return [a | b for a, b in itertools.combinations(blocks_of(radius), 2)]
-
-
-def _tree(fp: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """depth levels, from leaf groups upward: (and, or) of each group. fp is sorted by Gray rank."""
-    cut = np.arange(0, len(fp), LEAF)
-    levels = [(np.bitwise_and.reduceat(fp, cut), np.bitwise_or.reduceat(fp, cut))]
-    while len(levels) < depth:
-        cut = np.arange(0, len(levels[-1][0]), FAN)
-        levels.append((np.bitwise_and.reduceat(levels[-1][0], cut), np.bitwise_or.reduceat(levels[-1][1], cut)))
-    return levels
-
-
-def _find(x: np.ndarray, y: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (into x and y) of links that connect what pairs within radius connect. x and y by Gray rank."""
-    depth, groups = 1, -(-max(len(x), len(y)) // LEAF)
-    while groups > FAN:
-        depth, groups = depth + 1, -(-groups // FAN)
-    tx, ty = _tree(x, depth), _tree(y, depth)
-    i, j = map(np.ravel, np.meshgrid(np.arange(len(tx[-1][0])), np.arange(len(ty[-1][0])), indexing="ij"))
-    out_x, out_y = [], []
-    for level in range(len(tx) - 1, -1, -1):
-        (ax, ox), (ay, oy) = tx[level], ty[level]
-        if same:
-            i, j = i[i <= j], j[i <= j]
-        sure = (ax[i] & ~oy[j]) | (~ox[i] & ay[j])  # accumulated differences of the whole groups
-        near = np.bitwise_count(sure) <= radius
-        i, j = i[near], j[near]
-        most = np.bitwise_count((ox[i] | oy[j]) & ~(ax[i] & ay[j]))
-        whole = most <= radius
-        if whole.any():  # all members of both groups are within radius of each other: link them in a line
-            width = LEAF * FAN**level
-            for a, b in zip(i[whole], j[whole]):
-                sx = np.arange(a * width, min((a + 1) * width, len(x)))
-                sy = np.arange(b * width, min((b + 1) * width, len(y)))
-                out_x += [sx, np.full(len(sy), sx[0])]
-                out_y += [np.full(len(sx), sy[0]), sy]
-            i, j = i[~whole], j[~whole]
-        if level:
-            nx, ny = len(tx[level - 1][0]), len(ty[level - 1][0])
-            fan = np.arange(FAN)
-            i, j = (np.repeat(i[:, None] * FAN + fan, FAN, axis=1).ravel(), np.tile(j[:, None] * FAN + fan, (1, FAN)).ravel())
-            ok = (i < nx) & (j < ny)
-            i, j = i[ok], j[ok]
-    leaf = np.arange(LEAF)
-    for k in range(0, len(i), 2048):
-        a = i[k : k + 2048, None] * LEAF + leaf
-        b = j[k : k + 2048, None] * LEAF + leaf
-        va, vb = a < len(x), b < len(y)
-        d = np.bitwise_count(x[np.minimum(a, len(x) - 1)][:, :, None] ^ y[np.minimum(b, len(y) - 1)][:, None, :])
-        hit = (d <= radius) & va[:, :, None] & vb[:, None, :]
-        p, q, r = np.nonzero(hit)
-        out_x.append(a[p, q])
-        out_y.append(b[p, r])
-    if not out_x:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out_x), np.concatenate(out_y)
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node's least connected node: links (node, least) that connect what (a, b) connect."""
     names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -152,84 +88,218 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[own], names[root[own]]
 
 
-def node_links(fp: np.ndarray, side: np.ndarray, cross: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one node (or between its chunks where cross), as a forest of at most n - 1 of them."""
+def block_masks(blocks: int) -> list[int]:
+    """Masks of that many blocks that cover 64 bits."""
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    return [((1 << b) - (1 << a)) for a, b in itertools.pairwise(edges)]
+
+
+def node_masks(radius: int, n: int = 0, page: int = PAGE) -> list[int]:
+    """Masks of the upper nodes: of radius + k blocks every k, of which any pair within radius agrees on some; k is the
+    least for which n random fingerprints make nodes of at most ``page`` members, and decides cost only."""
+    for k in range(1, 9):
+        masks = [functools.reduce(int.__or__, some) for some in itertools.combinations(block_masks(radius + k), k)]
+        if n / 2.0 ** min(m.bit_count() for m in masks) <= page:
+            break
+    return masks
+
+
+class Tree:
+    """Groups over pages of fingerprints. Level 0 is the fingerprints themselves; a group of a level holds up to FAN
+    neighbours of the level below, all of one page; at the top a page is one group."""
+
+    def __init__(self, fp: np.ndarray, sizes: np.ndarray):
+        self.lo, self.hi, self.sizes = [fp], [fp], [sizes.astype(np.int64)]
+        while self.sizes[-1].max(initial=0) > 1:
+            below = self.sizes[-1]
+            own = -(-below // FAN)
+            first = np.repeat(np.cumsum(below) - below, own) + FAN * (np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own))
+            self.lo.append(np.bitwise_and.reduceat(self.lo[-1], first))
+            self.hi.append(np.bitwise_or.reduceat(self.hi[-1], first))
+            self.sizes.append(own)
+        self.start = [np.cumsum(x) - x for x in self.sizes]
+        self.page = [np.repeat(np.arange(len(x)), x) for x in self.sizes]
+
+    def children(self, level: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(groups of the level below, whether there), FAN for each."""
+        p = self.page[level][group]
+        local = (group - self.start[level][p])[:, None] * FAN + np.arange(FAN)
+        return self.start[level - 1][p][:, None] + local, local < self.sizes[level - 1][p][:, None]
+
+    def members(self, level: int, group: int) -> np.ndarray:
+        p = self.page[level][group]
+        a = (group - self.start[level][p]) * FAN**level
+        return self.start[0][p] + np.arange(a, min(a + FAN**level, self.sizes[0][p]))
+
+
+def tree_links(fp: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of signed fingerprints that connect what pairs within radius connect, between the pages first[k] and
+    second[k] (the same page: within it). fp is laid out page after page, each by Gray rank. stats counts pairs of groups
+    pruned and linked whole, and pairs of fingerprints compared."""
     u = fp.astype(np.uint64)
-    parts = [u[side == 0], u[side == 1]] if cross else [u]
-    parts = [p[np.argsort(gray_rank(p), kind="stable")] for p in parts]
-    if not all(map(len, parts)):
+    tree = Tree(u, sizes)
+    top = len(tree.sizes) - 1
+    todo = [(top, tree.start[top][first], tree.start[top][second])]
+    out_a: list[np.ndarray] = []
+    out_b: list[np.ndarray] = []
+    held = 0
+    count = stats if stats is not None else {}
+    while todo:
+        level, i, j = todo.pop()
+        if len(i) > AT_ONCE:
+            todo.append((level, i[AT_ONCE:], j[AT_ONCE:]))
+            i, j = i[:AT_ONCE], j[:AT_ONCE]
+        lo, hi = tree.lo[level], tree.hi[level]
+        sure = (lo[i] & ~hi[j]) | (~hi[i] & lo[j])  # accumulated differences of the whole groups
+        near = np.bitwise_count(sure) <= radius
+        if level == 0:
+            count["compared"] = count.get("compared", 0) + len(i)
+            near &= i != j
+            a, b = u[i[near]], u[j[near]]
+        else:
+            count["pruned"] = count.get("pruned", 0) + int((~near).sum())
+            i, j = i[near], j[near]
+            whole = np.bitwise_count((hi[i] | hi[j]) & ~(lo[i] & lo[j])) <= radius
+            a, b = [u[:0]], [u[:0]]
+            for p, q in zip(i[whole], j[whole]):  # every member is within radius of every other: link them in a line
+                x, y = tree.members(level, p), tree.members(level, q)
+                a += [u[x], u[y]]
+                b += [np.full(len(x), u[y[0]]), np.full(len(y), u[x[0]])]
+            a, b = np.concatenate(a), np.concatenate(b)
+            count["whole"] = count.get("whole", 0) + int(whole.sum())
+            i, j = i[~whole], j[~whole]
+            (ci, oki), (cj, okj) = tree.children(level, i), tree.children(level, j)
+            ok = oki[:, :, None] & okj[:, None, :] & ((i != j)[:, None, None] | np.triu(np.ones((FAN, FAN), bool)))
+            r, s, t = np.nonzero(ok)
+            if len(r):
+                todo.append((level - 1, ci[r, s], cj[r, t]))
+        keep = a != b
+        if keep.any():
+            out_a.append(a[keep].astype(np.int64))
+            out_b.append(b[keep].astype(np.int64))
+            held += int(keep.sum())
+        if held > AT_ONCE:  # a dense group's links shrink to a forest
+            x, y = _forest(np.concatenate(out_a), np.concatenate(out_b))
+            out_a, out_b, held = [x], [y], 0
+    if not out_a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    x, y = parts[0], parts[-1]
-    i, j = _find(x, y, not cross, radius)
-    a, b = x[i].astype(np.int64), y[j].astype(np.int64)
-    keep = a != b
-    return _forest(a[keep], b[keep])
-
-
-def _index_partition(radius: int):
-    """mapInPandas over rows (node, ca, cb, side, fp) sorted by node and chunks: streams, holding one node at a time."""
-
-    def emit(g: dict[str, np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Links of whole nodes. Nodes of up to LEAF members are leaves: compared by shifts, for all of them at once."""
-        node = np.flatnonzero(np.r_[True, (g["node"][1:] != g["node"][:-1]) | (g["ca"][1:] != g["ca"][:-1]) | (g["cb"][1:] != g["cb"][:-1])])
-        size = np.diff(np.r_[node, len(g["fp"])])
-        which = np.repeat(np.arange(len(node)), size)
-        u, small = g["fp"].astype(np.uint64), (size <= LEAF)[which]
-        out_a, out_b = [], []
-        for s in range(1, LEAF):
-            if s >= len(u) or s >= size.max():
-                break
-            hit = (which[s:] == which[:-s]) & small[s:] & (np.bitwise_count(u[s:] ^ u[:-s]) <= radius)
-            hit &= (g["ca"][s:] == g["cb"][s:]) | (g["side"][s:] != g["side"][:-s])
-            out_a.append(g["fp"][s:][hit])
-            out_b.append(g["fp"][:-s][hit])
-        for k in np.flatnonzero(size > LEAF):
-            r = slice(node[k], node[k] + size[k])
-            a, b = node_links(g["fp"][r], g["side"][r], g["ca"][node[k]] != g["cb"][node[k]], radius)
-            out_a.append(a)
-            out_b.append(b)
-        return out_a, out_b
+    return _forest(np.concatenate(out_a), np.concatenate(out_b))
+
+
+LINKED = "a long, b long, node long, page long, members array<long>"
+
+
+def _pages(radius: int, page: int):
+    """mapInPandas over rows (node, fp) sorted by node and Gray rank: cuts pages and gives the links within each, as
+    (a, b), and the pages of nodes that may have several, as (and, or, node, page, members). Pages are numbered in order
+    within the task, the task's number above; a task holds a batch and a page at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, np.ndarray] | None = None
-        cols = ("node", "ca", "cb", "side", "fp")
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        node, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        first_node = None  # of the task, which may go on from the task before, as the last may go on in the next
+        given = None  # the node of which pages were given before
         for pdf in itertools.chain(batches, [None]):
             if pdf is not None:
-                new = {c: pdf[c].to_numpy() for c in cols}
-                held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in cols}
-                last = [held[c][-1] for c in cols[:3]]
-                open_ = np.flatnonzero(~((held["node"] == last[0]) & (held["ca"] == last[1]) & (held["cb"] == last[2])))
-                n = int(open_[-1]) + 1 if len(open_) else 0
+                node, fp = np.r_[node, pdf["node"].to_numpy()], np.r_[fp, pdf["fp"].to_numpy()]
+            if not len(node):
+                continue
+            first_node = node[0] if first_node is None else first_node
+            begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            size = np.diff(np.r_[begin, len(node)])
+            pages = -(-size // page)
+            start = np.repeat(begin, pages) + page * (np.arange(pages.sum()) - np.repeat(np.cumsum(pages) - pages, pages))
+            ends = np.r_[start[1:], len(node)]
+            several = np.repeat(pages > 1, pages) | np.isin(node[start], [x for x in (first_node, given, node[-1]) if x is not None])
+            if pdf is not None:  # the last page may grow
+                rest, start, ends, several = start[-1], start[:-1], ends[:-1], several[:-1]
             else:
-                n = 0 if held is None else len(held["fp"])
-            if n:
-                a, b = emit({c: v[:n] for c, v in held.items()})
-                held = {c: v[n:] for c, v in held.items()}
-                a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
-                keep = a != b
-                if keep.any():
-                    yield pd.DataFrame({"a": a[keep], "b": b[keep]})
+                rest = len(node)
+            if len(start):
+                sizes = ends - start
+                every = np.flatnonzero(sizes > 1)
+                a, b = tree_links(fp[:rest], sizes, every, every, radius)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b, "node": None, "page": None, "members": None}).astype({"node": "Int64", "page": "Int64"})
+                own = np.flatnonzero(several)
+                if len(own):
+                    parts = [fp[start[k] : ends[k]] for k in own]
+                    yield pd.DataFrame({
+                        "a": [np.bitwise_and.reduce(x) for x in parts], "b": [np.bitwise_or.reduce(x) for x in parts], "node": pd.array(node[start[own]], "Int64"),
+                        "page": pd.array(number + own, "Int64"), "members": pd.Series(parts, dtype=object)})
+                number += len(start)
+                given = node[start[-1]]
+            node, fp = node[rest:], fp[rest:]
+
+    return run
+
+
+def _between(radius: int):
+    """mapInPandas over rows (x, y), the members of two pages: the links between them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, y in zip(pdf["x"], pdf["y"]):
+                a, b = tree_links(np.r_[x, y].astype(np.int64), np.array([len(x), len(y)]), np.array([0]), np.array([1]), radius)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def links_of(fps: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp) which chains of steps within radius connect."""
-    masks = node_masks(radius)
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+def page_pairs(heads: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(node, p, q): pairs of pages, p < q, of one node that may hold a link. heads: (node, page, lo, hi).
+
+    Pages are gathered into groups of neighbours until a node has PAGE_FAN of them at most; the groups' pairs are pruned
+    and opened level by level, by equi-joins on the groups' numbers."""
+
+    def near(a: str, b: str):
+        return F.expr(f"bit_count(({a}lo & ~{b}hi) | (~{a}hi & {b}lo)) <= {radius}")
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(F.col("node").alias(f"{x}node"), F.col("page").alias(x), F.col("lo").alias(f"{x}lo"), F.col("hi").alias(f"{x}hi"))
+
+    levels, shift = [heads], PAGE_FAN.bit_length() - 1
+    while (levels[-1].groupBy("node").count().agg(F.max("count")).first()[0] or 0) > PAGE_FAN:
+        up = levels[-1].groupBy("node", F.shiftright("page", shift).alias("page")).agg(F.bit_and("lo").alias("lo"), F.bit_or("hi").alias("hi"))
+        levels.append(scratch.save(up, "groups"))
+    pairs = side(levels[-1], "p").join(side(levels[-1], "q"), (F.col("pnode") == F.col("qnode")) & (F.col("p") <= F.col("q")) & near("p", "q"))
+    pairs = pairs.select(F.col("pnode").alias("node"), "p", "q")
+    for below in reversed(levels[:-1]):
+        pairs = scratch.save(pairs.select("node", F.col("p").alias("up"), F.col("q").alias("uq")), "pairs")
+        for x in "pq":
+            own = side(below, x).withColumn(f"{x}up", F.shiftright(x, shift))
+            pairs = pairs.join(own, (F.col("node") == F.col(f"{x}node")) & (F.col(f"u{x}") == F.col(f"{x}up"))).drop(f"{x}node", f"{x}up")
+        pairs = pairs.where((F.col("p") <= F.col("q")) & near("p", "q")).select("node", "p", "q")
+    return pairs.where("p < q")
+
+
+def links_of(fps: DataFrame, scratch: Scratch, radius: int = 4, page: int = PAGE) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (column fp) which chains of steps within radius connect.
+    page decides cost only."""
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in node_masks(radius, fps.count(), page)]
     # a node's number is a hash of its mask and pattern: equal patterns meet, and a chance meeting is only compared
     node = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)]))
-    rows = fps.select("fp", node.alias("node"))
-    big = rows.groupBy("node").count().where(F.col("count") > 1)
-    big = scratch.save(big.select(F.col("node").alias("n"), F.ceil(F.col("count") / NODE).cast("int").alias("m")), "nodes")
-    rows = rows.join(big, F.col("node") == F.col("n")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    unit = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-    rows = rows.select("node", "fp", "c", unit.alias("o")).select(
-        "node", F.least("c", "o").alias("ca"), F.greatest("c", "o").alias("cb"), (F.col("c") > F.col("o")).cast("int").alias("side"), "fp"
-    )
+    rank = F.col("fp")
+    for k in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "node", "ca", "cb").sortWithinPartitions("node", "ca", "cb", "fp")
-    return scratch.save(rows.mapInPandas(_index_partition(radius), "a long, b long"), "near")
+    rows = scratch.save(fps.select("fp", rank.bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("gray")), "gray")
+    rows = rows.select(node.alias("node"), "gray", "fp").repartitionByRange(n, "node", "gray").sortWithinPartitions("node", "gray")
+    found = scratch.save(rows.select("node", "fp").mapInPandas(_pages(radius, page), LINKED), "pages")
+    links = found.where("node IS NULL").select("a", "b")
+    pages = found.where("node IS NOT NULL")
+    several = scratch.save(pages.groupBy("node").count().where("count > 1").select(F.col("node").alias("n")).coalesce(1), "several")
+    if several.limit(1).count() == 0:
+        return links
+    heads = scratch.save(pages.join(several, F.col("node") == F.col("n"), "left_semi").select("node", "page", F.col("a").alias("lo"), F.col("b").alias("hi")), "heads")
+    pairs = scratch.save(page_pairs(heads, radius, scratch), "pairs")
+    for side, x in (("p", "x"), ("q", "y")):
+        pairs = pairs.join(pages.select(F.col("page").alias("own"), F.col("members").alias(x)), F.col(side) == F.col("own")).drop("own")
+    between = pairs.select("x", "y").repartition(n).mapInPandas(_between(radius), "a long, b long")
+    return links.unionByName(scratch.save(between, "between"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -242,8 +312,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated ids are rows of their own. An empty table gives an empty result.
 
     Plan: texts are read once and shrink to (id, fingerprint). Equal fingerprints are one node (pre-aggregated), so
-    groups of exact copies cost nothing. Nodes of the index are dealt out by hash and divided beyond NODE members;
-    each task streams its nodes and emits at most a spanning forest for a large one.
+    groups of exact copies cost nothing. The rows of the index are dealt out by ranges of (node, Gray rank), so that no
+    node is too large for a task; each task streams its pages and emits at most a spanning forest for each.
     """
     scratch = Scratch(docs.sparkSession)
     own = scratch.save(fingerprints(docs, id_col, text_col, shingle), "fp")

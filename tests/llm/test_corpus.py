@@ -215,15 +215,43 @@ def test_simhash(spark):
     assert sorted(got) == brute_groups(rows)
 
 
-@pytest.mark.parametrize("node", [16, 64])
-def test_simhash_divided_nodes(spark, monkeypatch, node):
-    """Nodes beyond NODE members are divided, and the index below them is used; nothing is lost."""
-    monkeypatch.setattr(simhash, "NODE", node)
-    monkeypatch.setattr(simhash, "LEAF", 4)
-    monkeypatch.setattr(simhash, "FAN", 2)
-    rows = near_copies(400, 8)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((str(x["doc_id"]), x["fingerprint"], str(x["component_id"])) for x in simhash.simhash_groups(df).collect()) == brute_groups(rows)
+@pytest.mark.parametrize(("page", "fan"), [(4, 2), (16, 32)])
+def test_simhash_divided_nodes(spark, monkeypatch, page, fan):
+    """Nodes of several pages, and groups of pages; nothing is lost."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "PAGE_FAN", fan)
+    monkeypatch.setattr(simhash, "node_masks", lambda radius, n, page: [m for m in simhash.block_masks(radius + 1)])
+    fps = [int(x) for x in np.unique(np.array([simhash.fingerprint(t) for _, t in near_copies(400, 8)], np.int64))]
+    scratch = Scratch(spark)
+    links = simhash.links_of(spark.createDataFrame([(x,) for x in fps], "fp long"), scratch, 4, page).collect()
+
+    def groups(pairs):
+        root = {x: x for x in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            root[max(find(x), find(y))] = min(find(x), find(y))
+        return {x: find(x) for x in fps}
+
+    assert groups((r[0], r[1]) for r in links) == groups((x, y) for x in fps for y in fps if ((x ^ y) & (2**64 - 1)).bit_count() <= 4)
+
+
+def test_simhash_tree_prunes():
+    """All links come through the tree, which prunes most pairs before they are compared."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    f = np.unique(rng.integers(-(1 << 62), 1 << 62, 6000))
+    f = f[np.argsort(simhash.gray_rank(f.astype(np.uint64)))]
+    stats = {}
+    one = np.array([0])
+    simhash.tree_links(f, np.array([len(f)]), one, one, 4, stats)
+    assert stats["pruned"] > 10_000 and stats["compared"] < 0.35 * len(f) ** 2 / 2
 
 
 def test_simhash_index_links():
@@ -236,7 +264,12 @@ def test_simhash_index_links():
         for _ in range(flips):
             f ^= (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) * (rng.random(n) < 0.5).astype(np.uint64)
         f = np.unique(f)
-        a, b = simhash.node_links(f.view(np.int64), np.zeros(len(f), int), False, 4)
+        f = f[np.argsort(simhash.gray_rank(f))]
+        some = np.flatnonzero(np.arange(len(f)) % 7 < 3)  # laid out as two pages, paired within and between
+        f = np.r_[f[some], np.delete(f, some)]
+        sizes = np.array([x for x in (len(some), len(f) - len(some)) if x])
+        p, q = np.triu_indices(len(sizes))
+        a, b = simhash.tree_links(f.view(np.int64), sizes, p, q, 4)
         assert len(a) < max(len(f), 1)
 
         def groups(pairs, f=f):
