@@ -6,6 +6,7 @@ RETURN [DISTINCT] a, b.title AS t ORDER BY distance(b.v, [0.1, 0.2], 'l2') | a.x
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -210,7 +211,8 @@ def run(graph: Graph, text: str, user: str | None = None, grants: DataFrame | No
     """The query's rows. A returned variable is a struct of its row; ``distance`` is added where rows are ordered by one.
 
     Filters apply to their own node before any join; hops are equi-joins through the edges, variable lengths a union of
-    chains. Missing vectors sort last. With a user, both ends of every hop must be readable.
+    chains. Missing vectors sort last. With a user, both ends of every hop must be readable, those within a variable
+    length too.
     """
     q = parse(text)
     if any(n.label is None for n in q.nodes):
@@ -227,9 +229,18 @@ def run(graph: Graph, text: str, user: str | None = None, grants: DataFrame | No
                 df = df.where(_compare(F.col(col), op, v))
         return df.select(F.col(key).cast("long").alias(f"{n.var}__id"), F.struct("*").alias(n.var))
 
+    def open_to_user(e: DataFrame) -> DataFrame:
+        """Edges between readable rows."""
+        for end in ("src", "dst"):
+            parts = [acl.readable(df, label, grants, roles, user, key=graph.keys[label]).select(F.lit(label).alias("__ot"), F.col(graph.keys[label]).cast("long").alias("__oi")) for label, df in graph.tables.items()]
+            e = e.join(functools.reduce(DataFrame.unionByName, parts), (F.col(f"{end}_table") == F.col("__ot")) & (F.col(f"{end}_id") == F.col("__oi")), "left_semi")
+        return e
+
     out = side(q.nodes[0])
     for r, a, b in zip(q.rels, q.nodes, q.nodes[1:]):
         e = graph.edges if r.kind is None else graph.edges.where(F.col("rel_type") == r.kind)
+        if user is not None and r.high > 1:
+            e = open_to_user(e)
         if r.var:
             for var, col, op, v in q.filters:
                 if var == r.var:

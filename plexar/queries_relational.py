@@ -150,14 +150,8 @@ def join_inner(t):
 
 
 for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
-    sql_query(f"join_{_how}", "customer", "orders", spark=f"""SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c
-      {_sql} JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON c_custkey = o_custkey""")
-sql_query("join_null_keys", "orders", spark="""SELECT count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS k FROM orders WHERE o_orderkey < 400) a
-  JOIN (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS k FROM orders WHERE o_orderkey < 400) b ON a.k = b.k""")
-# the same joins over whole tables
-for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
-    sql_query(f"join_{_how}_whole", "customer", "orders", spark=f"SELECT c_custkey, o_orderkey FROM customer {_sql} JOIN orders ON c_custkey = o_custkey AND c_acctbal > 0 AND o_totalprice > 100000")
-sql_query("join_null_keys_whole", "orders", spark="""WITH a AS (SELECT CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS k, count(*) AS n FROM orders GROUP BY 1),
+    sql_query(f"join_{_how}", "customer", "orders", spark=f"SELECT c_custkey, o_orderkey FROM customer {_sql} JOIN orders ON c_custkey = o_custkey AND c_acctbal > 0 AND o_totalprice > 100000")
+sql_query("join_null_keys", "orders", spark="""WITH a AS (SELECT CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS k, count(*) AS n FROM orders GROUP BY 1),
   b AS (SELECT CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS k, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(sum(a.n * b.n) AS BIGINT) AS n FROM a JOIN b ON a.k = b.k""")
 sql_query("join_cross", "region", "nation", spark="SELECT r_name, n_name FROM region CROSS JOIN nation")
 sql_query("join_semi", "customer", "orders", spark="SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000",

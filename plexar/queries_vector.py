@@ -111,19 +111,11 @@ def vector_index_stats(t):
     return _index(t, "cosine").stats().agg(F.sum("rows").alias("rows"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents WHERE doc_id % 100 = 0)
-SELECT a.doc_id AS a, b.doc_id AS b, round(1 - len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) AS distance FROM d a JOIN d b ON a.doc_id < b.doc_id WHERE len(a.w) > 0""")
-def jaccard_between_queries(t):
-    d = t("documents").where("doc_id % 100 = 0").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    a, b = d.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), d.select(F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, F.col("a") < F.col("b")).where(F.size("wa") > 0).select("a", "b", F.round(jaccard_distance("wa", "wb"), 6).alias("distance"))
-
-
 @query("""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, round(1 - len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) AS distance FROM d a JOIN d b ON a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0 AND len(a.w) > 0)
 SELECT a, b, distance FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 10""")
 def jaccard_queries_all_rows(t):
-    """The ten nearest of all documents for each query row; jaccard_between_queries compares query rows with each other only."""
+    """The ten nearest of all documents for each query row."""
     from pyspark.sql import Window
 
     d = t("documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("w"))

@@ -44,32 +44,29 @@ def test_where_tree(spark):
             bad()
 
 
-def test_people(engine):
-    engine.sql("""CREATE TABLE people (id INTEGER PRIMARY KEY, name TEXT NOT NULL, age INT, salary DECIMAL(10,2), is_active BOOLEAN, created_at TIMESTAMP, embedding VECTOR(3));
-      INSERT INTO people (id, name, age, salary, is_active, embedding) VALUES (1, 'Alice', 28, 75000.50, true, ARRAY[0.1, 0.2, 0.3]), (2, 'Bob', 35, 82000, true, ARRAY[1, 0, 0]),
-        (3, 'Carol', 42, 95000.75, false, ARRAY[0, 0, 1])""")
+def test_boats(engine):
+    engine.sql("""CREATE TABLE boats (no BIGINT PRIMARY KEY, port TEXT NOT NULL, crew INT, worth DECIMAL(12,2), afloat BOOLEAN, seen TIMESTAMP, place VECTOR(2));
+      INSERT INTO boats (no, port, crew, worth, afloat, place) VALUES (70, 'Oban', 4, 1200.25, true, ARRAY[3, 4]), (71, 'Moss', 9, 640, true, ARRAY[0, 2]), (72, 'Kiel', 11, 88.5, false, ARRAY[5, 0])""")
     q = lambda s: [tuple(r) for r in engine.sql(s).df.collect()]
-    assert q("SELECT name FROM people WHERE age > 30 AND is_active ORDER BY salary DESC") == [("Bob",)]
-    assert q("SELECT id FROM people ORDER BY embedding <-> ARRAY[0.9, 0, 0], id LIMIT 2") == [(2,), (1,)]
-    assert q("SELECT id, round(embedding <=> ARRAY[1,0,0], 3) AS d FROM people ORDER BY embedding <=> ARRAY[1,0,0] LIMIT 1") == [(2, 0.0)]
-    assert engine.sql("UPDATE people SET age = age + 1 WHERE name LIKE '%o%'").affected == 2
-    assert q("SELECT age FROM people ORDER BY id") == [(28,), (36,), (43,)]
-    assert q("SELECT created_at FROM people WHERE id = 1") == [(None,)]
-    with pytest.raises(ValueError, match="duplicate primary key"):
-        engine.sql("INSERT INTO people (id, name) VALUES (2, 'x')")
-    with pytest.raises(ValueError, match="null in column"):
-        engine.sql("INSERT INTO people (id) VALUES (9)")
-    assert engine.sql("INSERT INTO people (id, name, age) VALUES (2, 'Rob', 1), (4, 'Dan', 2) ON CONFLICT (id) DO UPDATE SET name = EXCLUDED.name").affected == 2
-    assert q("SELECT id, name, age FROM people ORDER BY id")[1:] == [(2, "Rob", 36), (3, "Carol", 43), (4, "Dan", 2)]
-    assert engine.sql("DELETE FROM people WHERE age < 30 LIMIT 1").affected == 1
-    assert q("SELECT count(*), avg(length(name)) FROM people") == [(3, pytest.approx(11 / 3))]
-    engine.sql("ALTER TABLE people ADD COLUMN city TEXT DEFAULT 'Rome'; ALTER TABLE people DROP COLUMN salary; ALTER TABLE people RENAME TO folk")
-    assert q("SELECT DISTINCT city FROM folk") == [("Rome",)]
+    assert q("SELECT port FROM boats WHERE crew >= 5 AND afloat ORDER BY worth") == [("Moss",)]
+    assert q("SELECT no FROM boats ORDER BY place <-> ARRAY[0, 1], no LIMIT 2") == [(71,), (70,)]
+    assert q("SELECT no, round(place <=> ARRAY[0, 7], 3) AS d FROM boats ORDER BY place <=> ARRAY[0, 7] LIMIT 2") == [(71, 0.0), (70, 0.2)]
+    assert engine.sql("UPDATE boats SET crew = crew - 3 WHERE port LIKE '%s%'").affected == 1
+    assert q("SELECT crew, seen FROM boats ORDER BY no") == [(4, None), (6, None), (11, None)]
+    for bad, why in (("(no, port) VALUES (71, 'x')", "duplicate primary key"), ("(no) VALUES (5)", "null in column")):
+        with pytest.raises(ValueError, match=why):
+            engine.sql(f"INSERT INTO boats {bad}")
+    assert engine.sql("INSERT INTO boats (no, port, crew) VALUES (72, 'Gdynia', 1), (73, 'Brest', 2) ON CONFLICT (no) DO UPDATE SET port = EXCLUDED.port").affected == 2
+    assert q("SELECT no, port, crew FROM boats ORDER BY no")[2:] == [(72, "Gdynia", 11), (73, "Brest", 2)]
+    assert engine.sql("DELETE FROM boats WHERE crew < 4 LIMIT 1").affected == 1
+    assert q("SELECT count(*), max(length(port)) FROM boats") == [(3, 6)]
+    engine.sql("ALTER TABLE boats ADD COLUMN flag TEXT DEFAULT 'none'; ALTER TABLE boats DROP COLUMN worth; ALTER TABLE boats RENAME TO fleet")
+    assert q("SELECT DISTINCT flag FROM fleet") == [("none",)]
     with pytest.raises(ValueError):
-        engine.sql("ALTER TABLE folk DROP COLUMN id")
+        engine.sql("ALTER TABLE fleet DROP COLUMN no")
     with pytest.raises(ValueError, match="no such table"):
-        engine.sql("DROP TABLE people")
-    engine.sql("DROP TABLE IF EXISTS people; DROP TABLE folk")
+        engine.sql("DROP TABLE boats")
+    engine.sql("DROP TABLE IF EXISTS boats; DROP TABLE fleet")
     assert engine.store.catalog.list_tables() == []
 
 
