@@ -108,7 +108,8 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     Sizes are words. The sources' targets are found by capped water-filling (``water_level``). A source's documents
     are all repeated floor(target / size) times; the rest of the target is filled by documents in a seeded order
     (MD5 of seed, id and text), each taken once more if at least half of it lies below the target, so that what is taken
-    differs from the target by half a document at most. Every document of an even larger source costs one
+    differs from the target by half a document at most, or half of a group of rows equal in id and text, which share one
+    place in the order. Every document of an even larger source costs one
     comparison: the order is cut at one value per source, found from sums over ranges of the order.
 
     Null sources are one source, which sorts last. Null, empty and blank texts have size 0 and take 0 words. Rows
