@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all machines share: spark.checkpoint.dir, or, on one machine, one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = "/tmp/checkpoints/plexar"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
