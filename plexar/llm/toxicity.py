@@ -1,13 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers are composed into one machine. The lexical one maps a word to a class (insult or threat with a
-weight, target, negation, report, future, break, other); the others rewrite weights by context: a threat counts only
-with a target after it, a target beside an insult raises it, a negation just before it and a report earlier in the
-clause lower it. What is scored is each clause's path through the machine, and a text's score is the logistic of the
-sum over its clauses less the prior odds.
-
-Function words are a fixed English list. Insults and threats begin with a fixed English list and are learnt from
-labelled texts in any language: whole words and word stems whose occurrences favour toxic texts. Occurrences are
+The lexicon maps a word to a class (insult or threat with a weight, target, negation, report, future, break, other).
+Five weighted transducers read classes and rewrite them: targets mark the insults and threats beside them, insults and
+marked threats become hits, and negations and reports before them make hits lighter. ``grammar`` is their composition.
+What is scored is each clause's path through it, and a text's score is the logistic of the sum over its clauses less
+the prior odds.
+
+Function words and threats are fixed lists in four languages. Insults begin with a fixed English list and are learnt
+from labelled texts in any language: whole words and word stems whose occurrences favour toxic texts. Occurrences are
 counted once for each pair of neighbouring words, so that copies and near copies of a text count once.
 """
 
@@ -16,8 +16,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,13 +29,33 @@ from plexar.session import ship
 
 from .common import text_of
 
-#: The seed lexicon and the function words of the grammar.
+#: The seed lexicon and the function words of the grammar, English, German, French and Spanish.
 INSULTS = "idiot moron stupid pathetic loser scum trash worthless disgusting clown imbecile jerk vermin dumb filthy".split()
-THREATS = "kill hurt destroy stab shoot strangle burn crush".split()
-TARGETS = "you your yours yourself u he she they them him her his their these those".split()
-NEGATIONS = "not no never neither nor isn't aren't wasn't weren't don't doesn't didn't".split()
-REPORTS = "said says wrote writes quoted quote claimed reported called allegedly".split()
-FUTURES = "will shall gonna going should must".split()
+THREATS = (
+    "kill hurt destroy stab shoot strangle burn crush".split()
+    + "töte töten umbringen verletzen erschießen erwürgen".split()
+    + "tuer tuerai tue frapper détruire étrangler brûler".split()
+    + "matar mataré mato herir destruir disparar estrangular quemar".split()
+)
+TARGETS = (
+    "you your yours yourself u he she they them him her his their these those".split()
+    + "du dich dir dein deine ihr euch sie ihn ihm diese".split()
+    + "tu toi vous votre elle ils elles lui eux".split()
+    + "tú ti usted ustedes él ella ellos ellas vosotros".split()
+)
+NEGATIONS = (
+    "not no never neither nor isn't aren't wasn't weren't don't doesn't didn't".split()
+    + "nicht kein keine keinen niemals nie weder".split()
+    + "pas jamais n'est aucun aucune ni".split()
+    + "nunca jamás tampoco ningún ninguna".split()
+)
+REPORTS = (
+    "said says wrote writes quoted quote claimed reported called allegedly".split()
+    + "sagte sagt schrieb schreibt behauptete angeblich".split()
+    + "dit disait écrit écrivait affirmait prétendait".split()
+    + "dijo dice escribió escribe afirmó supuestamente".split()
+)
+FUTURES = "will shall gonna going should must".split() + "werde werden wird".split() + "vais va allons".split() + "voy vamos".split()
 
 SEED_WEIGHT = 3.5
 #: Labelled texts that the lexicon is learnt from: those of the least hashed ids, up to this many.
@@ -53,7 +74,9 @@ NEGATED, REPORTED, AIMED = 0.25, 0.4, 1.25
 REACH = 3
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, FUTURE, BREAK = range(8)
+#: Classes of words, and what the transducers write besides.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, FUTURE, BREAK, INSULT_AT, THREAT_AT, HIT = range(11)
+SYMBOLS = 11
 
 
 @dataclass
@@ -87,7 +110,7 @@ class Lexicon:
         return len(self._marks) > 0 and next(self._marks.iter(low), None) is not None
 
     def lexical(self, tokens: list[str]) -> list[tuple[int, float]]:
-        """The first transducer: (class, weight) of each token."""
+        """(class, weight) of each token: what the transducers read."""
         out = []
         for t in tokens:
             c = self.classes.get(t)
@@ -116,32 +139,117 @@ def clauses(tape: list[tuple[int, float]]) -> Iterator[list[tuple[int, float]]]:
         yield now
 
 
-def step(state: tuple[int, bool, int, bool], cls: int) -> tuple[int, bool, int, bool]:
-    """The composed machine's transition. State: words since a negation (up to REACH), report seen, words since a
-    target, future seen."""
-    negated, reported, aimed, future = state
-    return (
-        0 if cls == NEGATION else min(negated + 1, REACH + 1),
-        reported or cls == REPORT,
-        0 if cls == TARGET else min(aimed + 1, REACH + 1),
-        future or cls == FUTURE,
-    )
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted finite-state transducer over symbols: arcs[state][symbol] holds (next state, output, factor) for every
+    arc, and a state or symbol without arcs ends a path. Paths begin in state 0 and end in a final state."""
+
+    arcs: list[dict[int, list[tuple[int, int, float]]]]
+    final: list[bool]
+
+
+def transducer(start: Hashable, step: Callable[[Hashable, int], Iterable[tuple[Hashable, int, float]]], final: Callable[[Hashable], bool] = lambda s: True) -> Transducer:
+    """The transducer of the states that ``step`` reaches from start, numbered in the order met."""
+    number, order, arcs = {start: 0}, [start], []
+    for state in order:  # grows as states are met
+        row: dict[int, list[tuple[int, int, float]]] = {}
+        for x in range(SYMBOLS):
+            for to, out, factor in step(state, x):
+                if to not in number:
+                    number[to] = len(order)
+                    order.append(to)
+                row.setdefault(x, []).append((number[to], out, factor))
+        arcs.append(row)
+    return Transducer(arcs, [final(s) for s in order])
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """b reads what a writes; factors multiply."""
+
+    def step(state: Hashable, x: int) -> Iterator[tuple[Hashable, int, float]]:
+        for to_a, y, f in a.arcs[state[0]].get(x, ()):
+            for to_b, z, g in b.arcs[state[1]].get(y, ()):
+                yield (to_a, to_b), z, f * g
+
+    return transducer((0, 0), step, lambda s: a.final[s[0]] and b.final[s[1]])
+
+
+def target_transducer() -> Transducer:
+    """Marks insults and threats with a target beside them. A target to come is guessed: a state is (words since a
+    target, words in which one must come, words in which none may), and a path whose guess fails ends."""
+    far = REACH + 1
+
+    def step(state: Hashable, x: int) -> Iterator[tuple[Hashable, int, float]]:
+        since, due, barred = state
+        if x == TARGET:
+            if not barred:
+                yield (0, 0, 0), x, 1.0
+            return
+        if due == 1:  # the last word in which a target could come
+            return
+        since_next, due, barred = min(since + 1, far), max(due - 1, 0), max(barred - 1, 0)
+        if x not in (INSULT, THREAT):
+            yield (since_next, due, barred), x, 1.0
+            return
+        marked = INSULT_AT if x == INSULT else THREAT_AT
+        if barred < REACH:
+            yield (since_next, due or REACH, barred), marked, 1.0
+        if not due:
+            yield (since_next, 0, REACH), marked if x == INSULT and since <= REACH else x, 1.0
+
+    return transducer((far, 0, 0), step, lambda s: not s[1])
+
+
+def insult_transducer() -> Transducer:
+    """An insult is a hit, a heavier one beside a target."""
+    hits = {INSULT: (HIT, 1.0), INSULT_AT: (HIT, AIMED)}
+    return transducer(0, lambda s, x: [(s, *hits.get(x, (x, 1.0)))])
+
+
+def threat_transducer() -> Transducer:
+    """A threat is a hit with a target after it only, and a heavier one after a word of the future."""
+    def step(future: Hashable, x: int) -> list[tuple[Hashable, int, float]]:
+        if x == THREAT_AT:
+            return [(future, HIT, AIMED if future else 1.0)]
+        return [(future or x == FUTURE, OTHER if x == THREAT else x, 1.0)]
+
+    return transducer(False, step)
+
+
+def negation_transducer() -> Transducer:
+    """A hit within REACH words after a negation is lighter."""
+    def step(left: Hashable, x: int) -> list[tuple[Hashable, int, float]]:
+        return [(REACH if x == NEGATION else max(left - 1, 0), x, NEGATED if x == HIT and left else 1.0)]
+
+    return transducer(0, step)
+
+
+def report_transducer() -> Transducer:
+    """A hit after a word of reporting is lighter."""
+    def step(reported: Hashable, x: int) -> list[tuple[Hashable, int, float]]:
+        return [(reported or x == REPORT, x, REPORTED if x == HIT and reported else 1.0)]
+
+    return transducer(False, step)
+
+
+@cache
+def grammar() -> Transducer:
+    """The composition of all of them, from classes of words to hits with factors."""
+    return reduce(compose, (target_transducer(), insult_transducer(), threat_transducer(), negation_transducer(), report_transducer()))
 
 
 def clause_score(clause: list[tuple[int, float]]) -> float:
-    """Weight of the clause's path: insults and threats, each as its context rewrites it."""
-    state, total = (REACH + 1, False, REACH + 1, False), 0.0
-    for k, (cls, w) in enumerate(clause):
-        if cls in (INSULT, THREAT):
-            negated, reported, aimed, future = state
-            ahead = any(c == TARGET for c, _ in clause[k + 1 : k + 1 + REACH])
-            if cls == THREAT:
-                w = w * (AIMED if future else 1.0) if ahead else 0.0
-            elif aimed <= REACH or ahead:
-                w *= AIMED
-            total += w * (NEGATED if negated <= REACH - 1 else 1.0) * (REPORTED if reported else 1.0)
-        state = step(state, cls)
-    return total
+    """Weight of the clause's path through the grammar: that of its hits, each by the factor of its arc. Guesses that
+    the clause does not bear out end, so that one path is left."""
+    arcs = grammar().arcs
+    paths = {0: 0.0}
+    for cls, w in clause:
+        after: dict[int, float] = {}
+        for state, total in paths.items():
+            for to, out, factor in arcs[state].get(cls, ()):
+                after[to] = max(after.get(to, -math.inf), total + w * factor if out == HIT else total)
+        paths = after
+    return max(total for state, total in paths.items() if grammar().final[state])
 
 
 def score_text(text: str | None, lex: Lexicon) -> float:
@@ -249,14 +357,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = few.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(TRAIN_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), F.col("id") == F.col("k"))
     rows = rows.where(F.length("text") <= TRAIN_CHARS)
-    return learn((r[0], int(r[1])) for r in rows.select("text", "y").dropDuplicates().limit(2 * TRAIN_ROWS).toLocalIterator())
+    return learn((r[0], int(r[1])) for r in rows.select("text", "y").dropDuplicates().orderBy(F.xxhash64("text"), "text", "y").limit(2 * TRAIN_ROWS).toLocalIterator())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
              threshold: float = 0.7, lexicon: Lexicon | None = None) -> DataFrame:
     """(id, held_out, score, predicted) per row of docs. Whole texts are scored; the score uses nothing but the text.
 
-    Null, empty and wordless texts get the prior's score. Repeated rows and ids give a row each; a null id is not
+    Null, empty and wordless texts get the prior's score; very long texts are scored like any other, and an id labelled
+    twice has its greatest label. Repeated rows and ids give a row each; a null id is not
     held out. An empty documents table gives an empty result; an empty labels table leaves the seed lexicon.
     """
     ship(docs.sparkSession)
