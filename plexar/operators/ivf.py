@@ -87,6 +87,8 @@ class IvfIndex:
         cells = max(1, min(4 * m, int(np.sqrt(len(x))) * 2))
         index = cls(df.sparkSession, path, key, vector, metric_name(metric), train_centroids(x, cells, max(3, min(25, ef_construction // 20))))
         index._assign(rows).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        p = index.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/removed")
+        p.getFileSystem(index.spark._jsc.hadoopConfiguration()).delete(p, True)
         index._save()
         return index
 
@@ -161,6 +163,11 @@ class IvfIndex:
         """Marks keys as removed; the rows go when the index is built again."""
         keys.select(self.key).distinct().write.mode("append").parquet(f"{self.path}/removed")
 
+    def removed_from(self, first: object) -> bool:
+        """Whether a key of first or more was removed since the index was built."""
+        gone = self._removed()
+        return gone is not None and not gone.where(F.col(self.key) >= first).isEmpty()
+
     def stats(self) -> DataFrame:
         """(cell, rows, centroid_norm) for every cell."""
         norms = self.spark.createDataFrame([(k, float(np.linalg.norm(c))) for k, c in enumerate(self.centroids)], "cell int, centroid_norm double")

@@ -23,7 +23,10 @@ class EventStore:
     def events(self) -> DataFrame:
         from plexar.sources.tables import Files
 
-        if not Files(self.spark).exists(f"{self.path}/events"):
+        files = Files(self.spark)
+        if not files.exists(f"{self.path}/events") and files.exists(f"{self.path}/events.new/_SUCCESS"):
+            self._move("events.new", "events")  # a compaction ended between its two renames
+        if not files.exists(f"{self.path}/events"):
             return self.spark.createDataFrame([], EVENT_SCHEMA)
         return self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self.path}/events")
 
@@ -66,18 +69,28 @@ class EventStore:
         return last - done >= SNAPSHOT_EVERY
 
     def compact(self, before: str) -> int:
-        """Removes events older than a time; returns how many."""
+        """Removes events older than a time; returns how many. The new version is whole before the old one moves away,
+        so a crash loses nothing: ``events`` ends a switch that was begun."""
         from plexar.sources.tables import Files
 
         files, old = Files(self.spark), self.events()
         kept = compacted(old, before)
         n = old.count() - kept.count()
         kept.write.mode("overwrite").partitionBy("org_id", "event_type").parquet(f"{self.path}/events.new")
-        files.delete(f"{self.path}/events")
-        p, fs = files._fs(f"{self.path}/events.new")
-        fs.rename(p, files._fs(f"{self.path}/events")[0])
+        files.delete(f"{self.path}/events.old")
+        self._move("events", "events.old")
+        self._move("events.new", "events")
+        files.delete(f"{self.path}/events.old")
         return n
 
+    def _move(self, old: str, new: str) -> None:
+        from plexar.sources.tables import Files
+
+        files = Files(self.spark)
+        p, fs = files._fs(f"{self.path}/{old}")
+        if not fs.rename(p, files._fs(f"{self.path}/{new}")[0]):
+            raise OSError(f"cannot rename {p}")
+
     def stats(self) -> DataFrame:
         return stats(self.events())
 

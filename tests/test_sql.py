@@ -89,6 +89,37 @@ def test_vector_index_and_explain(engine):
     assert engine.sql("SELECT DISTINCT v FROM d").df.count() == 1
 
 
+def test_sql_text_uses_and_keeps_the_index(engine):
+    ids = lambda s: [r["id"] for r in engine.sql(s).df.collect()]
+    near = "SELECT id FROM near ORDER BY v <-> ARRAY[7.2, 1] LIMIT 3"
+    engine.sql("CREATE TABLE near (id BIGINT, note TEXT, v VECTOR(2)); INSERT INTO near (id, v) VALUES " + ", ".join(f"({i}, ARRAY[{i}.0, 1.0])" for i in range(60)))
+    engine.sql("CREATE INDEX nv ON near USING hnsw (v) WITH (m=4, ef_construction=16, metric=l2)")
+    assert "KNN search" in engine.explain(near) and ids(near) == [7, 8, 6] and not engine.metadata(near)["table_scan"]
+    assert ids("SELECT id FROM near ORDER BY v <-> ARRAY[7.2, 1] ASC, id LIMIT 2 OFFSET 1") == [8, 6]
+    # what an index cannot answer is searched exactly: conditions, other metrics, calls, more rows than there are
+    for other in ("SELECT id FROM near WHERE id > 30 ORDER BY v <-> ARRAY[7.2, 1] LIMIT 3", "SELECT id FROM near ORDER BY v <|> ARRAY[7.2, 1] LIMIT 3",
+                  "SELECT upper(note) FROM near ORDER BY v <-> ARRAY[7.2, 1] LIMIT 3", "SELECT id FROM near ORDER BY v <-> ARRAY[7.2, 1] LIMIT 900"):
+        assert engine._planned(other)[1] is False
+    assert len(ids("SELECT id FROM near ORDER BY v <-> ARRAY[7.2, 1] LIMIT 900")) == 60
+    engine.sql("INSERT INTO near (id, v) VALUES (1000, ARRAY[7.2, 1.0])")
+    assert ids(near) == [1000, 7, 8]
+    engine.sql("DELETE FROM near WHERE id = 7")
+    assert ids(near) == [1000, 8, 6] and "KNN search" in engine.explain(near)
+    engine.sql("DELETE FROM near WHERE id = 1000; INSERT INTO near (id, v) VALUES (2000, ARRAY[7.3, 1.0])")  # its row id was removed before
+    assert ids(near) == [2000, 8, 6]
+    engine.sql("UPDATE near SET note = 'x'; UPDATE near SET v = ARRAY[7.2, 1.0] WHERE id = 50")
+    assert ids(near) == [50, 2000, 8] and engine._planned(near)[1]
+
+
+def test_delete_without_condition_is_confirmed(engine):
+    engine.sql("CREATE TABLE gone (id BIGINT); INSERT INTO gone VALUES (1), (2)")
+    with pytest.raises(ValueError, match="confirmed"):
+        engine.sql("DELETE FROM gone")
+    assert engine.sql("SET confirm_delete_all = true; DELETE FROM gone").affected == 2
+    with pytest.raises(ValueError, match="confirmed"):
+        engine.sql("SET confirm_delete_all = false; DELETE FROM gone LIMIT 1")
+
+
 def test_builders(engine):
     engine.sql("CREATE TABLE u (id INT PRIMARY KEY, name TEXT, age INT, v VECTOR(2)); CREATE TABLE o (oid INT, uid INT, amount INT)")
     rows = [{"id": i, "name": n, "age": a, "v": [float(i), 0.0]} for i, n, a in ((1, "Alice", 28), (2, "Bob", 35), (3, "Charlie", 42))]
