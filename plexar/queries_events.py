@@ -61,10 +61,11 @@ def event_time_range(t):
     return e.where(ff.after(lo) & ff.before(hi)).select("event_id")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT user_id % 4) AS keys FROM events")
+@query("SELECT (user_id % 4)::BIGINT AS org_id, 1::BIGINT AS partitions, true AS inside, count(*) AS n FROM events GROUP BY ALL")
 def event_partitions(t):
-    p = _events(t).withColumn("p", ff.partition_key("org", 64)).groupBy("p", "org_id").count()
-    return p.agg(F.sum("count").alias("n"), F.countDistinct("org_id").alias("keys"))
+    """All events of an organisation go to one partition of the sixty-four."""
+    p = _events(t).withColumn("p", ff.partition_key("org", 64)).groupBy(F.col("org_id").cast("long").alias("org_id"), "p").count()
+    return p.groupBy("org_id").agg(F.count("p").alias("partitions"), F.every(F.col("p").between(0, 63)).alias("inside"), F.sum("count").alias("n"))
 
 
 @query(f"SELECT {_ID}, event_type FROM events")
@@ -180,19 +181,23 @@ def event_snapshots(t):
     return store.latest_state(_events(t), user_of(), F.col("event_type"))
 
 
-@query("SELECT count(*) AS n FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 2 HOUR FROM events)")
+@query(f"SELECT {_ID}, event_type FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 2 HOUR FROM events)")
 def event_compaction(t):
+    s = store.EventStore(t.spark, f"{checkpoint_dir(t.spark)}/events-{uuid.uuid4().hex}")
     e = _events(t)
-    return store.compacted(e, str(e.agg(F.min("ts") + F.expr("INTERVAL 2 HOUR")).first()[0])).agg(F.count("*").alias("n"))
+    s.append(e)
+    s.compact(str(e.agg(F.min("ts") + F.expr("INTERVAL 2 HOUR")).first()[0]))
+    return s.events().select("event_id", "event_type")
 
 
-@query("""SELECT count(*) AS n, count(DISTINCT s) AS numbers, min(s)::BIGINT AS low, max(s)::BIGINT AS high FROM (SELECT row_number() OVER () AS s FROM events)""")
+@query(f"""SELECT {_ID}, row_number() OVER (ORDER BY user_id % 4 >= 2, ts, event_id::VARCHAR)::BIGINT AS sequence FROM events""")
 def event_store_append(t):
+    """Two appends: the second one's numbers go on from the first one's, each in order of time and id."""
     s = store.EventStore(t.spark, f"{checkpoint_dir(t.spark)}/events-{uuid.uuid4().hex}")
     e = _events(t)
-    s.append(e.where("sequence % 2 = 0"))
-    s.append(e.where("sequence % 2 = 1"))
-    return s.events().agg(F.count("*").alias("n"), F.countDistinct("sequence").alias("numbers"), F.min("sequence").alias("low"), F.max("sequence").alias("high"))
+    s.append(e.where("org_id < 2"))
+    s.append(e.where("org_id >= 2"))
+    return s.events().select("event_id", F.col("sequence").cast("long").alias("sequence"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS operation FROM supplier WHERE s_suppkey % 10 = 0 OR s_suppkey % 7 = 0
@@ -243,10 +248,11 @@ def event_webhooks(t):
     return e.where(on | off).select("event_id")
 
 
-@query("SELECT count(*) FILTER (WHERE user_id % 4 = 1) AS org, count(*) FILTER (WHERE user_id = 7) AS own, 0::BIGINT AS room, 0::BIGINT AS sys FROM events")
+@query(f"SELECT {_ID}, user_id % 4 = 1 AS org, user_id = 7 AS own, false AS room, false AS sys FROM events")
 def event_channels(t):
-    n = lambda kind, key, name: F.count(F.when(channels.channel(kind, key), 1)).alias(name)
-    return _events(t).agg(n("org", 1, "org"), n("user", 7, "own"), n("room", "x", "room"), n("system", None, "sys"))
+    """Which of four channels each event goes to; clicks belong to no room and are not of the system."""
+    on = lambda kind, key: F.coalesce(channels.channel(kind, key), F.lit(False))
+    return _events(t).select("event_id", on("org", 1).alias("org"), on("user", 7).alias("own"), on("room", "x").alias("room"), on("system", None).alias("sys"))
 
 
 @query(f"SELECT {_ID} FROM events WHERE user_id % 4 = 0 AND event_type <> 'view' AND {_K} >= 10")
