@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plexar.functions.vector import distance, metric_name
 from plexar.operators import acl
 from plexar.operators.graph import Graph
+from plexar.operators.graph_algo import Rounds
 
 TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?!\.\.\w)|(?P<name>\w+)|(?P<op><>|<=|>=|->|<-|\.\.|[()\[\]:,.*=<>{}|-]))""")
 COMPARE = {"=", "<>", "<", "<=", ">", ">="}
@@ -33,7 +34,7 @@ class Rel:
     kind: str | None
     forward: bool
     low: int = 1
-    high: int = 1
+    high: int | None = 1
 
 
 @dataclass
@@ -121,11 +122,13 @@ class Parser:
             if self.maybe(":"):
                 r.kind = self.name()
             if self.maybe("*"):
-                r.low, r.high = 1, 5
+                r.low, r.high = 1, None
                 if self.peek().isdigit():
                     r.low = r.high = int(self.take())
                 if self.maybe(".."):
-                    r.high = int(self.take())
+                    r.high = int(self.take()) if self.peek().isdigit() else None
+                if r.high is not None and not 1 <= r.low <= r.high:
+                    raise ValueError(f"no path has a length of {r.low} to {r.high}")
             self.take("]")
         if back:
             self.take("-")
@@ -211,7 +214,8 @@ def run(graph: Graph, text: str, user: str | None = None, grants: DataFrame | No
     """The query's rows. A returned variable is a struct of its row; ``distance`` is added where rows are ordered by one.
 
     Filters apply to their own node before any join; hops are equi-joins through the edges, variable lengths a union of
-    chains. Missing vectors sort last. With a user, both ends of every hop must be readable, those within a variable
+    chains from the nodes reached so far. A chain takes no edge twice, so that one without an upper bound ends: it is
+    written round by round until no chain grows. Missing vectors sort last. With a user, both ends of every hop must be readable, those within a variable
     length too.
     """
     q = parse(text)
@@ -239,7 +243,8 @@ def run(graph: Graph, text: str, user: str | None = None, grants: DataFrame | No
     out = side(q.nodes[0])
     for r, a, b in zip(q.rels, q.nodes, q.nodes[1:]):
         e = graph.edges if r.kind is None else graph.edges.where(F.col("rel_type") == r.kind)
-        if user is not None and r.high > 1:
+        many = r.high is None or r.high > 1
+        if user is not None and many:
             e = open_to_user(e)
         if r.var:
             for var, col, op, v in q.filters:
@@ -247,15 +252,28 @@ def run(graph: Graph, text: str, user: str | None = None, grants: DataFrame | No
                     e = e.where(_compare(F.col(col) if col in e.columns else F.col("props")[col], op, v))
         e = e if r.forward else e.select("edge_id", F.col("dst_table").alias("src_table"), F.col("dst_id").alias("src_id"), "rel_type", F.col("src_table").alias("dst_table"), F.col("src_id").alias("dst_id"), "props")
         hop = e.select(*[F.col(c).alias(f"__{c}") for c in ("src_table", "src_id", "dst_table", "dst_id")], F.struct("edge_id", "rel_type", "props").alias(r.var or "__rel"))
-        step = None
-        chain = hop
-        for n in range(1, r.high + 1):
-            if n > 1:
-                nxt = hop.select(F.col("__src_table").alias("__t"), F.col("__src_id").alias("__i"), F.col("__dst_table").alias("__nt"), F.col("__dst_id").alias("__ni"))
-                chain = chain.join(nxt, (F.col("__dst_table") == F.col("__t")) & (F.col("__dst_id") == F.col("__i"))).select(
-                    "__src_table", "__src_id", F.col("__nt").alias("__dst_table"), F.col("__ni").alias("__dst_id"), r.var or "__rel")
+        step, chain, n = None, hop, 1
+        if many:
+            edge = F.struct("__rel_id", *[f"__{c}" for c in ("src_table", "src_id", "dst_table", "dst_id")])
+            hop = hop.withColumn("__rel_id", F.struct(f"{r.var or '__rel'}.edge_id", f"{r.var or '__rel'}.rel_type")).withColumn("__edge", edge).drop("__rel_id")
+            starts = out.select(F.col(f"{a.var}__id").alias("__start"))
+            chain = hop.where(F.col("__src_table") == a.label).join(starts, F.col("__src_id") == F.col("__start"), "left_semi")
+            chain = chain.withColumn("__path", F.array("__edge")).drop("__edge")
+        while True:
             if n >= r.low:
                 step = chain if step is None else step.unionByName(chain)
+            if n == r.high:
+                break
+            nxt = hop.select(F.col("__src_table").alias("__t"), F.col("__src_id").alias("__i"), F.col("__dst_table").alias("__nt"), F.col("__dst_id").alias("__ni"), "__edge")
+            goes_on = (F.col("__dst_table") == F.col("__t")) & (F.col("__dst_id") == F.col("__i")) & ~F.array_contains("__path", F.col("__edge"))
+            chain = chain.join(nxt, goes_on).select(
+                "__src_table", "__src_id", F.col("__nt").alias("__dst_table"), F.col("__ni").alias("__dst_id"), r.var or "__rel", F.concat("__path", F.array("__edge")).alias("__path"))
+            n += 1
+            if r.high is None:
+                chain = Rounds(graph.spark).save(chain, f"paths-{n}")
+                if chain.isEmpty():
+                    step = chain if step is None else step
+                    break
         step = step.where((F.col("__src_table") == a.label) & (F.col("__dst_table") == b.label))
         again = f"{b.var}__id" in out.columns  # a variable that was bound before closes a ring
         out = out.join(step, F.col(f"{a.var}__id") == F.col("__src_id"))
@@ -263,7 +281,7 @@ def run(graph: Graph, text: str, user: str | None = None, grants: DataFrame | No
             out = out.where(F.col(f"{b.var}__id") == F.col("__dst_id"))
         else:
             out = out.join(side(b), F.col("__dst_id") == F.col(f"{b.var}__id"))
-        out = out.drop("__src_table", "__src_id", "__dst_table", "__dst_id", "__rel")
+        out = out.drop("__src_table", "__src_id", "__dst_table", "__dst_id", "__rel", "__path")
 
     cols = [(F.col(f"{v}.{k}") if k else F.col(v)).alias(alias) for v, k, alias in q.returns]
     order, extra = [], []
