@@ -264,8 +264,8 @@ def main_text(html: str | None, net: dict[str, np.ndarray] | None = None) -> str
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) per row of pages; n_chars counts code points.
 
-    Null, empty and textless pages give an empty text. Repeated rows and ids give a row each. An empty table gives an
-    empty result. Pages do not influence each other; nothing is shuffled or capped.
+    Null, empty and textless pages give an empty text. Very long pages and blocks are read whole. Repeated rows and ids
+    give a row each, in the same way. Other columns play no part. An empty table gives an empty result. Pages do not influence each other; nothing is shuffled or capped.
     """
     ship(pages.sparkSession)
     net = weights()

@@ -14,6 +14,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what newline characters separate. Every run of ``window`` lines is hashed (128 bits). Of a window that
     occurs more than once in the whole table the first occurrence stays, in the order of (id, hash of text,
     position), null ids last; the lines of every later one go, overlapping windows merged into covered positions.
+    Blank lines are lines like others, so of three of them in a row the first in the table stay and later ones go.
     The text becomes the remaining lines joined by newlines; texts shorter than ``window`` lines do not change.
     Adds n_lines and n_removed (ints; input columns of these names are replaced).
 

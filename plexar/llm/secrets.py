@@ -189,7 +189,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     Candidates are all runs of 16 or more letters, digits, +, /, _ and -, with a digit, within one word, not followed by
     = and a value; word is the place among the text's words. Features: length, shares of digits, capitals and hexadecimal digits, character-class
     transitions, distinct characters, dictionary coverage, neighbouring words, and the path (path_col). Null, empty and
-    short texts have no candidates; a null path is an empty one. Repeated rows give their findings each. An empty
+    short texts have no candidates; very long texts are searched whole, in place; equal values are findings each where
+    they stand; a null path is an empty one. Repeated rows give their findings each. An empty
     table gives an empty result.
     """
     scored = with_features(candidates(docs, id_col, text_col, path_col)).withColumn("score", F.round(forest_score(findings), 6))

@@ -185,7 +185,8 @@ def read_records(archive: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the archive to the shared folder and reads it back: (id, payload_bytes, payload_digest, record_type,
-    refers_to) per row of pages. Null ids come back null; null urls have no header line; null html is an empty
+    refers_to) per row of pages. Null ids come back null, and so do empty ones, as the archive has no other form for
+    them; other columns play no part; null urls have no header line; null html is an empty
     payload. An empty table gives an empty archive. Corner cases as in ``record_chunks``."""
     scratch = Scratch(pages.sparkSession)
     kind = pages.schema[id_col].dataType
