@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +12,27 @@ from pyspark.sql import functions as F
 from plexar.streaming.model import from_clicks
 
 
-def read_events(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int = 1) -> DataFrame:
-    """A stream of the driver's event files as events."""
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).parquet(folder)
-    return from_clicks(raw)
+def read_events(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int | None = 1) -> DataFrame:
+    """A stream of the driver's event files as events; glob names files of the folder, or tables that are folders of files.
+    per_trigger None takes all files that are there as one batch."""
+    raw = spark.readStream.schema(schema)
+    raw = raw if per_trigger is None else raw.option("maxFilesPerTrigger", per_trigger)
+    return from_clicks(raw.parquet(f"{folder}/{{{glob}}}"))  # the braces: only a pattern may name a file
 
 
-def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", timeout: int = 300) -> DataFrame:
-    """Runs a stream over all that is there and gives what it wrote. Parquet output for append; complete and update modes
-    write each batch through foreachBatch, the last state of every batch replacing the one before."""
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", timeout: int | None = None) -> DataFrame:
+    """Runs a stream over all that is there and gives what it wrote; it ends by itself, and only a timeout (seconds) cuts it.
+    Parquet output for append; complete and update modes write each batch through foreachBatch, the last state of every
+    batch replacing the one before."""
     spark = df.sparkSession
     writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", path).outputMode("append").start()
     else:
         q = writer.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite" if mode == "complete" else "append").parquet(path)).start()
-    if not q.awaitTermination(timeout):
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
         q.stop()
         raise TimeoutError("the stream did not end")
     return spark.read.parquet(path)
@@ -59,21 +65,21 @@ def act(df: DataFrame, actions: list[tuple[object, Callable[[DataFrame, int], No
 
 def running_frequency(df: DataFrame, count: int, seconds: int, by: tuple[str, ...] = ("org_id", "event_type")) -> DataFrame:
     """The stream form of ``windows.frequency``: (by..., event_id, ts, n_recent, fires), state of at most the events of the
-    last seconds for each key."""
+    last seconds for each key. A batch's rows of a key are counted by their places in order, without a loop over rows."""
     keys = list(by)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", event_id string, ts timestamp, n_recent long, fires boolean"
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        found = []
-        micros = rows["ts"].astype("int64") // (1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1)
-        for (i, ts), t in zip(zip(rows["event_id"], rows["ts"]), micros):
-            recent = [x for x in recent if x > t - seconds * 1_000_000] + [int(t)]
-            found.append((*key, i, ts, len(recent), len(recent) >= count))
-        state.update((recent,))
-        yield pd.DataFrame(found, columns=[*keys, "event_id", "ts", "n_recent", "fires"])
+        recent = np.sort(np.array(state.get[0] if state.exists else [], np.int64))
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"])
+        at = rows["ts"].astype("int64").to_numpy() // (1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1)
+        since = at - seconds * 1_000_000
+        n = len(recent) - np.searchsorted(recent, since, "right") + np.arange(1, len(at) + 1) - np.searchsorted(at, since, "right")
+        recent = np.concatenate([recent, at])
+        state.update((recent[recent > since[-1]].tolist(),))
+        found = {k: [v] * len(n) for k, v in zip(keys, key)}
+        yield pd.DataFrame(found | {"event_id": rows["event_id"].array, "ts": rows["ts"].array, "n_recent": n, "fires": n >= count})
 
     return df.groupBy(*keys).applyInPandasWithState(step, out, "recent array<bigint>", "append", "NoTimeout")
 
