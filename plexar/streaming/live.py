@@ -6,12 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexar.streaming.model import from_clicks
 
 
+#: State lies on disk: many keys would not fit the heap of an executor.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_events(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int | None = 1) -> DataFrame:
     """A stream of the driver's event files as events; glob names files of the folder, or tables that are folders of files.
     per_trigger None takes all files that are there as one batch."""
@@ -27,9 +32,15 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", timeo
     spark = df.sparkSession
     writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        q = writer.format("parquet").option("path", path).outputMode("append").start()
+        writer = writer.format("parquet").option("path", path).outputMode("append")
     else:
-        q = writer.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite" if mode == "complete" else "append").parquet(path)).start()
+        writer = writer.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite" if mode == "complete" else "append").parquet(path))
+    before = spark.conf.get(STATE_STORE)
+    try:  # a query keeps the settings it was started with
+        spark.conf.set(STATE_STORE, ROCKSDB)
+        q = writer.start()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     if timeout is None:
         q.awaitTermination()
     elif not q.awaitTermination(timeout):
@@ -87,18 +98,26 @@ def running_frequency(df: DataFrame, count: int, seconds: int, by: tuple[str, ..
 def deliveries(df: DataFrame, attempts: int = 3, timeout_seconds: int = 30) -> DataFrame:
     """Delivery state of a queue's messages from a stream of (message_id, consumer, action, ts), where action is deliver, ack or
     nack: (consumer, message_id, state, tries). States: in flight, delivered, waiting, dead. A delivery that is not answered
-    within the timeout counts as a nack when the next action comes; a message that failed attempts times is dead."""
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, tries, since = state.get if state.exists else ("waiting", 0, 0)
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "action"])
-        for action, ts in zip(rows["action"], rows["ts"]):
-            now, tries, since = next_delivery(now, tries, since, action, int(ts.timestamp()), attempts, timeout_seconds)
-        state.update((now, tries, since))
-        yield pd.DataFrame([(*key, now, tries)], columns=["consumer", "message_id", "state", "tries"])
-
-    return df.groupBy("consumer", "message_id").applyInPandasWithState(
-        step, "consumer string, message_id string, state string, tries int", "state string, tries int, since bigint", "update", "NoTimeout")
+    within the timeout counts as a nack when the next action comes; a message that failed attempts times is dead.
+
+    A message's actions are kept and gone through in order of time, whenever they came; no Python runs for a message."""
+    log = df.groupBy("consumer", "message_id").agg(F.collect_list(F.struct("ts", "action")).alias("log"))
+    start = F.struct(F.lit("waiting").alias("now"), F.lit(0).alias("tries"), F.lit(0).cast("long").alias("since"))
+    last = F.aggregate(F.array_sort("log"), start, lambda s, x: delivery_step(s, x, attempts, timeout_seconds))
+    # a column of its own, or its parts would each be computed anew
+    out = log.select("consumer", "message_id", F.explode(F.array(last)).alias("s"))
+    return out.select("consumer", F.col("message_id").cast("string").alias("message_id"), F.col("s.now").alias("state"), F.col("s.tries").alias("tries"))
+
+
+def delivery_step(s: Column, x: Column, attempts: int, timeout: int) -> Column:
+    """``next_delivery`` as a column: s (now, tries, since), x (ts, action)."""
+    at, failed = F.unix_seconds(x["ts"]), F.when(s["tries"] >= attempts, "dead").otherwise("waiting")
+    late = (s["now"] == "in flight") & (at - s["since"] > timeout)
+    now = F.when(late, failed).otherwise(s["now"])
+    sent = (x["action"] == "deliver") & (now == "waiting")
+    answer = F.when(x["action"] == "ack", "delivered").when(x["action"] == "nack", failed).otherwise(now)
+    new = F.when(sent, "in flight").when(now == "in flight", answer).otherwise(now)
+    return F.struct(new.alias("now"), F.when(sent, s["tries"] + 1).otherwise(s["tries"]).alias("tries"), F.when(sent, at).otherwise(s["since"]).alias("since"))
 
 
 def next_delivery(now: str, tries: int, since: int, action: str, ts: int, attempts: int = 3, timeout: int = 30) -> tuple[str, int, int]:

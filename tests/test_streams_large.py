@@ -66,3 +66,19 @@ def test_running_frequency_step():
 
 def test_drain_waits():
     assert inspect.signature(live.drain).parameters["timeout"].default is None
+
+
+def test_deliveries_machine(spark):
+    """The columns against the machine on random logs, without Python for each message."""
+    rng = np.random.default_rng(2)
+    start, rows = dt.datetime(2026, 1, 1), []
+    for m in range(300):
+        for at in sorted(rng.choice(120, rng.integers(1, 12), replace=False).tolist()):
+            rows.append((str(m), "c", ["deliver", "deliver", "ack", "nack"][rng.integers(4)], start + dt.timedelta(seconds=at)))
+    want = {}
+    for m, _, action, ts in rows:
+        want[m] = live.next_delivery(*want.get(m, ("waiting", 0, 0)), action, int(ts.replace(tzinfo=dt.timezone.utc).timestamp()))
+    out = live.deliveries(spark.createDataFrame(rows, "message_id string, consumer string, action string, ts timestamp").repartition(5))
+    assert {r["message_id"]: (r["state"], r["tries"]) for r in out.collect()} == {m: x[:2] for m, x in want.items()}
+    assert {x[0] for x in want.values()} == {"waiting", "in flight", "delivered", "dead"}
+    assert "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
