@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from plexar.functions.vector import distance, jaccard_distance, register
+from plexar.functions.vector import distance, register
 from plexar.operators import knn as nn
 from plexar.operators.graph_algo import checkpoint_dir
 from plexar.operators.ivf import IvfIndex
+from plexar.operators.set_knn import jaccard_nearest
 from plexar.plans.rewrite import rewrite
 from plexar.registry import query
 
@@ -118,10 +119,9 @@ def jaccard_queries_all_rows(t):
     """The ten nearest of all documents for each query row."""
     from pyspark.sql import Window
 
-    d = t("documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    a = d.where((F.col("doc_id") % 100 == 0) & (F.size("w") > 0)).select(F.col("doc_id").alias("a"), F.col("w").alias("wa"))
-    p = a.join(d.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), F.col("a") != F.col("b"))
-    p = p.select("a", "b", F.round(jaccard_distance("wa", "wb"), 6).alias("distance"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
+    d = t("documents").select(F.col("doc_id").alias("id"), words.alias("w"))
+    p = jaccard_nearest(d.where((F.col("id") % 100 == 0) & (F.size("w") > 0)), d, 10)
     return p.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where("n <= 10").drop("n")
 
 
