@@ -1,12 +1,12 @@
-"""Near copies at a similarity: bands of minima and SimHash choose pairs, exact shingle sets decide them.
+"""Near copies at a similarity: SimHash and its Gray-order index choose pairs, exact shingle sets decide them.
 
-The least values of a set of shingles under BANDS * ROWS seeded orders are cut into BANDS bands. Sets that agree on a
-whole band are a group: two sets of Jaccard similarity t meet in one with a chance of 1 - (1 - t ** ROWS) ** BANDS,
-0.9996 at 0.8. A group's sets are compared with one of them in each of STARS rounds: first with its most central one,
-which lies in the most and largest groups, then with the most central of those that are not connected with an earlier
-one. This joins large groups of copies in as many comparisons as they have members. Before sets are fetched, a pair is
-compared by a byte of each of its minima, which agree as often as the sets are similar, and sets of LARGE shingles or
-more by SimHash.
+A set of shingles has a SimHash of WORDS words of 64 bits. Two sets of Jaccard similarity 0.8 differ in about 38 of 256
+bits, with a deviation of 6. The index of ``simhash`` holds each fingerprint under masked bit patterns (``wide_masks``:
+so many that 0.9999 of pairs APART bits away share one), in Gray order, cut into pages and groups; its descent connects
+fingerprints within RADIUS bits. What it connects is a group. A group's sets are compared with one of them in each of
+STARS rounds: first with its most central one, which shares the most masked patterns with others, then with the most
+central of those that are not connected with an earlier one. This joins large groups of copies in as many comparisons as
+they have members. Before sets are fetched, a pair is compared by its fingerprints.
 
 What is not connected by then is paired within groups of up to SMALL sets directly, and within larger ones by its
 differences from a central set p. The symmetric difference of a and b is that of their differences d(a) = a ^ p and
@@ -25,14 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, fresh, text_of
+from .simhash import wide_links
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: From LARGE shingles on, sets at similarity 0.8 differ in about 10 of 64 bits, with a deviation of 3; RADIUS is five away.
-RADIUS, LARGE = 26, 64
+#: Words of a fingerprint, bits by which masks are counted, and bits that a pair may differ in. Sets of 5 and 4 shingles
+#: differ the most at similarity 0.8, in 48 bits with a deviation of 6; RADIUS is almost four deviations from there, five from others.
+WORDS, APART, RADIUS = 4, 45, 70
+#: Bands of minima, and minima of a band.
 BANDS, ROWS = 20, 5
-#: Rounds of one member, how many standard deviations below the threshold a pair's agreeing minima may lie, and the
-#: largest group whose sets are paired directly (which decides cost only).
-STARS, DEVIATIONS, SMALL = 3, 4, 16
+#: Rounds of one member, and the largest group whose sets are paired directly (which decides cost only).
+STARS, SMALL = 3, 16
 #: Tables of row keys up to this many rows are broadcast; larger ones are joined with a shuffle of the texts.
 BROADCAST_KEYS = 500_000
 
@@ -51,12 +53,16 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(start[: len(ends)].tolist(), ends)], np.uint64).view(np.int64))
 
 
-def simhash_of(h: np.ndarray) -> int:
-    """Signed bitwise majority of a set of hashes."""
-    total = np.zeros(64, np.int64)
+def simhash_of(h: np.ndarray) -> np.ndarray:
+    """Signed words of the bitwise majority of a set of hashes, each word over its own mixing of them."""
+    total = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(h), 8192):
-        total += np.unpackbits(h[i : i + 8192].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h)).view(">i8")[0])
+        x = h[i : i + 8192, None].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(WORDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(h)).view(np.int64)
 
 
 def name_of(h: np.ndarray) -> int:
@@ -66,6 +72,14 @@ def name_of(h: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(h.tobytes(), 7)).astype(np.int64))
 
 
+def bits_apart(a: str, b: str) -> Column:
+    """How many bits of two columns of words differ."""
+    return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(WORDS)))
+
+
+# --- minima of sets, which choose no pairs here: another sketch of similarity, held by tests
+
+
 def minima(h: np.ndarray) -> np.ndarray:
     """The least values of a set under BANDS * ROWS orders. Each order is that of h xor a word, times an odd word."""
     rng = np.random.default_rng(20)
@@ -127,28 +141,22 @@ def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b["text"]]
-            least = [minima(h) for h in sets]
             yield pd.DataFrame({
                 "id": b["id"], "th": b["th"], "s": np.array([name_of(h) for h in sets], np.int64), "n": np.array([len(h) for h in sets], np.int32),
-                "fp": np.array([simhash_of(h) for h in sets], np.int64), "sig": pd.Series([bytes_of(x) for x in least], dtype=object, index=b.index),
-                "bands": pd.Series([bands_of(h, x) for h, x in zip(sets, least)], dtype=object, index=b.index)}, index=b.index)
+                "sig": pd.Series([simhash_of(h) for h in sets], dtype=object, index=b.index)}, index=b.index)
 
-    own = scratch.save(rows.mapInPandas(run, "id string, th long, s long, n int, fp long, sig array<long>, bands array<long>"), "own")
+    own = scratch.save(rows.mapInPandas(run, "id string, th long, s long, n int, sig array<long>"), "own")
     # equal sets are one node, known by one of its texts
-    meta = own.groupBy("s").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.min(F.struct("id", "th")).alias("k"))
-    meta = scratch.save(meta.select("s", "n", "fp", "sig", F.col("k.id").alias("i"), F.col("k.th").alias("t")), "meta")
-    held = own.select("s", F.explode("bands").alias("g"))
-    ends = held.groupBy("g").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
-    ends = scratch.save(ends.select(F.col("g").alias("eg")), "ends")
-    shared = scratch.save(held.join(ends, F.col("g") == F.col("eg")).select("g", "s").distinct(), "shared")
+    meta = own.groupBy("s").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("id", "th")).alias("k"))
+    meta = scratch.save(meta.select("s", "n", "sig", F.col("k.id").alias("i"), F.col("k.th").alias("t")), "meta")
+    near_links, nodes = wide_links(meta.where("n > 0"), scratch, WORDS, RADIUS, APART)
+    shared = components(spark, scratch, near_links).select(F.col("root").alias("g"), F.col("node").alias("s"))
 
     def side(x: str) -> DataFrame:
-        return meta.select(*[F.col(c).alias(c + x) for c in ("s", "n", "fp", "sig")])
+        return meta.select(*[F.col(c).alias(c + x) for c in ("s", "n", "sig")])
 
-    near = (F.least("na", "nb") < LARGE) | (F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))) <= RADIUS)
-    near &= F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    orders = BANDS * ROWS
-    near &= differing("siga", "sigb") <= orders * (1 - similarity) + DEVIATIONS * (orders * similarity * (1 - similarity)) ** 0.5
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
+    near &= bits_apart("siga", "sigb") <= RADIUS
 
     def fetched(names: DataFrame) -> DataFrame:
         """(s, h): the sets of these names (column w), each once."""
@@ -212,8 +220,12 @@ def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     sizes = shared.groupBy("g").agg(F.count("*").alias("size"))
     sizes = scratch.save(sizes, "sizes")
-    central = shared.join(sizes, "g").groupBy(F.col("s").alias("c")).agg(F.sum("size").alias("w"))
-    shared = scratch.save(shared.join(central, F.col("s") == F.col("c")).select("g", "s", "w"), "shared")
+    # in large groups, how many members meet a set in its nodes
+    wide = shared.join(sizes.where(F.col("size") > SMALL).select("g"), "g").join(nodes, "s").select("g", "s", F.explode("nodes").alias("node"))
+    wide = scratch.save(wide, "central")
+    meets = wide.groupBy(F.col("g").alias("cg"), F.col("node").alias("cn")).agg(F.count("*").alias("met")).where("met > 1")
+    central = wide.join(meets, (F.col("g") == F.col("cg")) & (F.col("node") == F.col("cn"))).groupBy(F.col("s").alias("c")).agg(F.sum("met").alias("w"))
+    shared = scratch.save(shared.join(central, F.col("s") == F.col("c"), "left").select("g", "s", F.coalesce("w", F.lit(0)).alias("w")), "shared")
     links = comp = tried = centres = None
 
     def step(pairs: DataFrame) -> None:
@@ -244,8 +256,8 @@ def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     open_ = rooted.groupBy("g").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.count("*").alias("size"), F.max(F.struct("w", "s")).alias("top"))
     open_ = scratch.save(open_.where("r1 < r2").select(F.col("g").alias("og"), "size", "top"), "open")
     left = rooted.join(open_, F.col("g") == F.col("og"))
-    few = scratch.save(left.where(F.col("size") <= SMALL).select("g", "s", "r").join(meta.select("s", "n", "fp", "sig"), "s"), "left")
-    a, b = (few.select("g", *[F.col(c).alias(c + x) for c in ("s", "r", "n", "fp", "sig")]) for x in "ab")
+    few = scratch.save(left.where(F.col("size") <= SMALL).select("g", "s", "r").join(meta.select("s", "n", "sig"), "s"), "left")
+    a, b = (few.select("g", *[F.col(c).alias(c + x) for c in ("s", "r", "n", "sig")]) for x in "ab")
     pairs = a.join(b, "g").where((F.col("sa") < F.col("sb")) & (F.col("ra") != F.col("rb")) & near).select("sa", "sb")
     # a group's p is the set that most of its members have as the most central one of their groups
     large = scratch.save(left.where(F.col("size") > SMALL).select("g", "s", "r", "top"), "large")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,11 +133,18 @@ class Tree:
         return self.start[0][p] + np.arange(a, min(a + FAN**level, self.sizes[0][p]))
 
 
-def tree_links(fp: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Set bits of each word, or of each row of words."""
+    return np.bitwise_count(x) if x.ndim == 1 else np.bitwise_count(x).sum(axis=1)
+
+
+def tree_links(fp: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int, stats: dict | None = None, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) of signed fingerprints that connect what pairs within radius connect, between the pages first[k] and
     second[k] (the same page: within it). fp is laid out page after page, each by Gray rank. stats counts pairs of groups
-    pruned and linked whole, and pairs of fingerprints compared."""
+    pruned and linked whole, and pairs of fingerprints compared. fp may have several words a row; names then stand for the
+    rows in links."""
     u = fp.astype(np.uint64)
+    names = u if names is None else names
     tree = Tree(u, sizes)
     top = len(tree.sizes) - 1
     todo = [(top, tree.start[top][first], tree.start[top][second])]
@@ -150,21 +158,22 @@ def tree_links(fp: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
             todo.append((level, i[AT_ONCE:], j[AT_ONCE:]))
             i, j = i[:AT_ONCE], j[:AT_ONCE]
         lo, hi = tree.lo[level], tree.hi[level]
-        sure = (lo[i] & ~hi[j]) | (~hi[i] & lo[j])  # accumulated differences of the whole groups
-        near = np.bitwise_count(sure) <= radius
+        # accumulated differences of the whole groups
+        sure = u[i] ^ u[j] if level == 0 else (lo[i] & ~hi[j]) | (~hi[i] & lo[j])
+        near = _bits(sure) <= radius
         if level == 0:
             count["compared"] = count.get("compared", 0) + len(i)
             near &= i != j
-            a, b = u[i[near]], u[j[near]]
+            a, b = names[i[near]], names[j[near]]
         else:
             count["pruned"] = count.get("pruned", 0) + int((~near).sum())
             i, j = i[near], j[near]
-            whole = np.bitwise_count((hi[i] | hi[j]) & ~(lo[i] & lo[j])) <= radius
-            a, b = [u[:0]], [u[:0]]
+            whole = _bits((hi[i] | hi[j]) & ~(lo[i] & lo[j])) <= radius
+            a, b = [names[:0]], [names[:0]]
             for p, q in zip(i[whole], j[whole]):  # every member is within radius of every other: link them in a line
                 x, y = tree.members(level, p), tree.members(level, q)
-                a += [u[x], u[y]]
-                b += [np.full(len(x), u[y[0]]), np.full(len(y), u[x[0]])]
+                a += [names[x], names[y]]
+                b += [np.full(len(x), names[y[0]]), np.full(len(y), names[x[0]])]
             a, b = np.concatenate(a), np.concatenate(b)
             count["whole"] = count.get("whole", 0) + int(whole.sum())
             i, j = i[~whole], j[~whole]
@@ -189,21 +198,34 @@ def tree_links(fp: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.
 LINKED = "a long, b long, node long, page long, members array<long>"
 
 
-def _pages(radius: int, page: int):
+def _unpacked(members: list, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, names) of pages of members; a member is its fingerprint, or ``words`` words and a name."""
+    x = np.concatenate(members).astype(np.int64)
+    return (x.reshape(-1, words + 1)[:, :words], x.reshape(-1, words + 1)[:, words]) if words else (x, x)
+
+
+def _pages(radius: int, page: int, words: int = 0):
     """mapInPandas over rows (node, fp) sorted by node and Gray rank: cuts pages and gives the links within each, as
     (a, b), and the pages of nodes that may have several, as (and, or, node, page, members). Pages are numbered in order
-    within the task, the task's number above; a task holds a batch and a page at a time."""
+    within the task, the task's number above; a task holds a batch and a page at a time. With words, rows are
+    (node, f0, f1 ..., s), and the heads of pages are arrays (lo, hi)."""
+
+    def read(pdf: pd.DataFrame) -> np.ndarray:
+        return np.stack([pdf[c].to_numpy() for c in [f"f{k}" for k in range(words)] + ["s"]], axis=1) if words else pdf["fp"].to_numpy()
+
+    def links(fp: np.ndarray, sizes: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tree_links(fp[:, :words], sizes, every, every, radius, names=fp[:, words]) if words else tree_links(fp, sizes, every, every, radius)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        node, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        node, fp = np.empty(0, np.int64), np.empty((0, words + 1) if words else 0, np.int64)
         first_node = None  # of the task, which may go on from the task before, as the last may go on in the next
         given = None  # the node of which pages were given before
         for pdf in itertools.chain(batches, [None]):
             if pdf is not None:
-                node, fp = np.r_[node, pdf["node"].to_numpy()], np.r_[fp, pdf["fp"].to_numpy()]
+                node, fp = np.r_[node, pdf["node"].to_numpy()], np.concatenate([fp, read(pdf)])
             if not len(node):
                 continue
             first_node = node[0] if first_node is None else first_node
@@ -220,15 +242,19 @@ def _pages(radius: int, page: int):
             if len(start):
                 sizes = ends - start
                 every = np.flatnonzero(sizes > 1)
-                a, b = tree_links(fp[:rest], sizes, every, every, radius)
+                a, b = links(fp[:rest], sizes, every)
                 if len(a):
-                    yield pd.DataFrame({"a": a, "b": b, "node": None, "page": None, "members": None}).astype({"node": "Int64", "page": "Int64"})
+                    found = {"a": a, "b": b} | ({"lo": None, "hi": None} if words else {})
+                    yield pd.DataFrame(found | {"node": None, "page": None, "members": None}).astype({"node": "Int64", "page": "Int64"})
                 own = np.flatnonzero(several)
                 if len(own):
                     parts = [fp[start[k] : ends[k]] for k in own]
-                    yield pd.DataFrame({
-                        "a": [np.bitwise_and.reduce(x) for x in parts], "b": [np.bitwise_or.reduce(x) for x in parts], "node": pd.array(node[start[own]], "Int64"),
-                        "page": pd.array(number + own, "Int64"), "members": pd.Series(parts, dtype=object)})
+                    low, high = [np.bitwise_and.reduce(x) for x in parts], [np.bitwise_or.reduce(x) for x in parts]
+                    none = pd.array([None] * len(own), "Int64")
+                    heads = {"a": none, "b": none, "lo": pd.Series([x[:words] for x in low], dtype=object), "hi": pd.Series([x[:words] for x in high], dtype=object)} if words else {"a": low, "b": high}
+                    yield pd.DataFrame(heads | {
+                        "node": pd.array(node[start[own]], "Int64"),
+                        "page": pd.array(number + own, "Int64"), "members": pd.Series([x.ravel() for x in parts], dtype=object)})
                 number += len(start)
                 given = node[start[-1]]
             node, fp = node[rest:], fp[rest:]
@@ -236,34 +262,38 @@ def _pages(radius: int, page: int):
     return run
 
 
-def _between(radius: int):
+def _between(radius: int, words: int = 0):
     """mapInPandas over rows (x, y), the members of two pages: the links between them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for x, y in zip(pdf["x"], pdf["y"]):
-                a, b = tree_links(np.r_[x, y].astype(np.int64), np.array([len(x), len(y)]), np.array([0]), np.array([1]), radius)
+                fp, names = _unpacked([x, y], words)
+                n = len(x) // (words + 1)
+                a, b = tree_links(fp, np.array([n, len(fp) - n]), np.array([0]), np.array([1]), radius, names=names if words else None)
                 if len(a):
                     yield pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def page_pairs(heads: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """(node, p, q): pairs of pages, p < q, of one node that may hold a link. heads: (node, page, lo, hi).
+def page_pairs(heads: DataFrame, radius: int, scratch: Scratch, words: int = 0) -> DataFrame:
+    """(node, p, q): pairs of pages, p < q, of one node that may hold a link. heads: (node, page, lo, hi), or lo0, lo1 ... with words.
 
     Pages are gathered into groups of neighbours until a node has PAGE_FAN of them at most; the groups' pairs are pruned
     and opened level by level, by equi-joins on the groups' numbers."""
 
+    each = [str(k) for k in range(words)] or [""]
+
     def near(a: str, b: str):
-        return F.expr(f"bit_count(({a}lo & ~{b}hi) | (~{a}hi & {b}lo)) <= {radius}")
+        return F.expr(" + ".join(f"bit_count(({a}lo{k} & ~{b}hi{k}) | (~{a}hi{k} & {b}lo{k}))" for k in each) + f" <= {radius}")
 
     def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select(F.col("node").alias(f"{x}node"), F.col("page").alias(x), F.col("lo").alias(f"{x}lo"), F.col("hi").alias(f"{x}hi"))
+        return df.select(F.col("node").alias(f"{x}node"), F.col("page").alias(x), *[F.col(c + k).alias(f"{x}{c}{k}") for k in each for c in ("lo", "hi")])
 
     levels, shift = [heads], PAGE_FAN.bit_length() - 1
     while (levels[-1].groupBy("node").count().agg(F.max("count")).first()[0] or 0) > PAGE_FAN:
-        up = levels[-1].groupBy("node", F.shiftright("page", shift).alias("page")).agg(F.bit_and("lo").alias("lo"), F.bit_or("hi").alias("hi"))
+        up = levels[-1].groupBy("node", F.shiftright("page", shift).alias("page")).agg(*[f(c + k).alias(c + k) for k in each for f, c in ((F.bit_and, "lo"), (F.bit_or, "hi"))])
         levels.append(scratch.save(up, "groups"))
     pairs = side(levels[-1], "p").join(side(levels[-1], "q"), (F.col("pnode") == F.col("qnode")) & (F.col("p") <= F.col("q")) & near("p", "q"))
     pairs = pairs.select(F.col("pnode").alias("node"), "p", "q")
@@ -302,6 +332,62 @@ def links_of(fps: DataFrame, scratch: Scratch, radius: int = 4, page: int = PAGE
     return links.unionByName(scratch.save(between, "between"))
 
 
+def wide_masks(n: int, words: int, apart: int, missed: float = 1e-4, small: int = 64) -> np.ndarray:
+    """Masks (a row of words each) for n fingerprints of 64 * words bits: of as many seeded bits as make nodes of ``small``
+    random members, ten at least, and so many that all but ``missed`` of pairs that differ in ``apart`` bits agree on one."""
+    size, bits = 64 * words, max(10, math.ceil(math.log2(max(n, 1) / small)))
+    agree = math.comb(size - apart, bits) / math.comb(size, bits)
+    rng = np.random.default_rng(21)
+    out = np.zeros((math.ceil(math.log(missed) / math.log1p(-agree)), size), np.uint8)
+    for row in out:
+        row[rng.choice(size, bits, replace=False)] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def nodes_of(fp: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """(row, mask): the signed number of each node, a hash of the mask and the bits it leaves."""
+    out = np.empty((len(fp), len(masks)), np.int64)
+    for k, m in enumerate(masks):
+        h = np.full(len(fp), k + 1, np.uint64)
+        for word in (fp.astype(np.uint64) & m).T:
+            h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out[:, k] = h.astype(np.int64)
+    return out
+
+
+def wide_links(rows: DataFrame, scratch: Scratch, words: int, radius: int, apart: int, page: int = PAGE) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of names that connect rows (s, sig) within radius that share a node of ``wide_masks``, sig an array of
+    words, and (s, nodes). The index is that of ``links_of``, with masks of single bits and fingerprints of several words."""
+    masks = wide_masks(rows.count(), words, apart)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                nodes = nodes_of(np.stack(b["sig"].tolist()), masks)
+                yield pd.DataFrame({"s": b["s"].to_numpy(), "sig": b["sig"].to_numpy(), "nodes": pd.Series(list(nodes), dtype=object)})
+
+    held = scratch.save(rows.select("s", "sig").mapInPandas(run, "s long, sig array<long>, nodes array<long>"), "nodes")
+    flat = held.select(F.explode("nodes").alias("node"), *[F.col("sig")[k].alias(f"f{k}") for k in range(words)], "s")
+    rank = F.col("f0")
+    for k in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = flat.repartitionByRange(n, "node", rank).sortWithinPartitions("node", rank)
+    found = scratch.save(flat.mapInPandas(_pages(radius, page, words), "a long, b long, lo array<long>, hi array<long>, node long, page long, members array<long>"), "pages")
+    links, pages = found.where("node IS NULL").select("a", "b").distinct(), found.where("node IS NOT NULL")
+    several = scratch.save(pages.groupBy("node").count().where("count > 1").select(F.col("node").alias("n")).coalesce(1), "several")
+    if several.limit(1).count():
+        heads = pages.join(several, F.col("node") == F.col("n"), "left_semi")
+        heads = heads.select("node", "page", *[F.col(c)[k].alias(f"{c}{k}") for k in range(words) for c in ("lo", "hi")])
+        pairs = scratch.save(page_pairs(scratch.save(heads, "heads"), radius, scratch, words), "pairs")
+        for side, x in (("p", "x"), ("q", "y")):
+            pairs = pairs.join(pages.select(F.col("page").alias("own"), F.col("members").alias(x)), F.col(side) == F.col("own")).drop("own")
+        between = pairs.select("x", "y").repartition(n).mapInPandas(_between(radius, words), "a long, b long")
+        links = links.unionByName(scratch.save(between, "between"))
+    return links, held.select("s", "nodes")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(id, fingerprint, component_id) per row of docs: SimHash near-duplicate groups.
 
