@@ -4,9 +4,10 @@ A set of shingles has a SimHash of WORDS words of 64 bits. Two sets of Jaccard s
 bits, with a deviation of 6. The index of ``simhash`` holds each fingerprint under masked bit patterns (``wide_masks``:
 so many that 0.9999 of pairs APART bits away share one), in Gray order, cut into pages and groups; its descent connects
 fingerprints within RADIUS bits. What it connects is a group. A group's sets are compared with one of them in each of
-STARS rounds: first with its most central one, which shares the most masked patterns with others, then with the most
-central of those that are not connected with an earlier one. This joins large groups of copies in as many comparisons as
-they have members. Before sets are fetched, a pair is compared by its fingerprints.
+STARS rounds: first with its most central one, whose fingerprint is the nearest to the bitwise majority of the group's,
+then with the most central of those that are not connected with an earlier one. This joins large groups of copies in as
+many comparisons as they have members; choosing a centre is one sum and one join of a row for each member. Before sets
+are fetched, a pair is compared by its fingerprints.
 
 What is not connected by then is paired within groups of up to SMALL sets directly, and within larger ones by its
 differences from a central set p. The symmetric difference of a and b is that of their differences d(a) = a ^ p and
@@ -77,6 +78,17 @@ def bits_apart(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(WORDS)))
 
 
+def majorities(members: DataFrame) -> DataFrame:
+    """(mg, m): of each group g of members (g, sig) the bitwise majority of their words, from sums that each task begins."""
+    bits = [(k, j) for k in range(WORDS) for j in range(64)]
+    sums = members.groupBy(F.col("g").alias("mg")).agg(F.count("*").alias("of"), *[F.expr(f"sum(shiftrightunsigned(sig[{k}], {j}) & 1L) AS b{k}_{j}") for k, j in bits])
+
+    def word(k: int) -> str:
+        return " + ".join(f"shiftleft(CAST(2 * b{k}_{j} > of AS BIGINT), {j})" for j in range(64))
+
+    return sums.select("mg", F.expr(f"array({', '.join(map(word, range(WORDS)))})").alias("m"))
+
+
 # --- minima of sets, which choose no pairs here: another sketch of similarity, held by tests
 
 
@@ -149,7 +161,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     # equal sets are one node, known by one of its texts
     meta = own.groupBy("s").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("id", "th")).alias("k"))
     meta = scratch.save(meta.select("s", "n", "sig", F.col("k.id").alias("i"), F.col("k.th").alias("t")), "meta")
-    near_links, nodes = wide_links(meta.where("n > 0"), scratch, WORDS, RADIUS, APART)
+    near_links, _ = wide_links(meta.where("n > 0"), scratch, WORDS, RADIUS, APART)
     shared = components(spark, scratch, near_links).select(F.col("root").alias("g"), F.col("node").alias("s"))
 
     def side(x: str) -> DataFrame:
@@ -179,10 +191,10 @@ def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         return out
 
     def rooted_now(comp: DataFrame | None) -> DataFrame:
-        """(g, s, w, r): r names what s is connected with."""
+        """(g, s, sig, r): r names what s is connected with; sig is null in groups of up to SMALL."""
         if comp is None:
             return shared.withColumn("r", F.col("s"))
-        return shared.join(comp, F.col("s") == F.col("node"), "left").select("g", "s", "w", F.coalesce("root", "s").alias("r"))
+        return shared.join(comp, F.col("s") == F.col("node"), "left").select("g", "s", "sig", F.coalesce("root", "s").alias("r"))
 
     def unlike(x: str, y: str) -> Column:
         """The most shingles in which similar sets of these sizes can differ."""
@@ -220,13 +232,16 @@ def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     sizes = shared.groupBy("g").agg(F.count("*").alias("size"))
     sizes = scratch.save(sizes, "sizes")
-    # in large groups, how many members meet a set in its nodes
-    wide = shared.join(sizes.where(F.col("size") > SMALL).select("g"), "g").join(nodes, "s").select("g", "s", F.explode("nodes").alias("node"))
-    wide = scratch.save(wide, "central")
-    meets = wide.groupBy(F.col("g").alias("cg"), F.col("node").alias("cn")).agg(F.count("*").alias("met")).where("met > 1")
-    central = wide.join(meets, (F.col("g") == F.col("cg")) & (F.col("node") == F.col("cn"))).groupBy(F.col("s").alias("c")).agg(F.sum("met").alias("w"))
-    shared = scratch.save(shared.join(central, F.col("s") == F.col("c"), "left").select("g", "s", F.coalesce("w", F.lit(0)).alias("w")), "shared")
-    links = comp = tried = centres = None
+    shared = shared.join(sizes, "g").join(meta.select("s", "sig"), "s").select("g", "s", F.when(F.col("size") > SMALL, F.col("sig")).alias("sig"))
+    shared = scratch.save(shared, "shared")
+    links = comp = tried = centres = first = None
+
+    def most_central(rest: DataFrame) -> DataFrame:
+        """(g, s, pr): of each group of rest (g, s, sig, r) the member nearest to their majority, and its r; without sig any."""
+        middle = scratch.save(majorities(rest.where("sig IS NOT NULL")), "middle")
+        w = F.coalesce(-bits_apart("sig", "m"), F.lit(0))
+        near_middle = rest.join(middle, F.col("g") == F.col("mg"), "left").groupBy("g").agg(F.max(F.struct(w.alias("w"), "s", "r")).alias("p"))
+        return scratch.save(near_middle.select("g", F.col("p.s").alias("s"), F.col("p.r").alias("pr")), "open")
 
     def step(pairs: DataFrame) -> None:
         """Compares those of pairs that were not compared yet."""
@@ -243,28 +258,24 @@ def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         rest = members
         if centres is not None:  # those not connected with an earlier centre of the group
             old = centres.join(members.select("g", "s", "r"), ["g", "s"]).groupBy(F.col("g").alias("og")).agg(F.collect_set("r").alias("roots"))
-            rest = members.join(old, F.col("g") == F.col("og")).where(~F.array_contains("roots", F.col("r")))
-        open_ = rest.groupBy("g").agg(F.max(F.struct("w", "s", "r")).alias("p"))
-        open_ = scratch.save(open_.select("g", F.col("p.s").alias("s"), F.col("p.r").alias("pr")), "open")
+            rest = scratch.save(members.join(old, F.col("g") == F.col("og")).where(~F.array_contains("roots", F.col("r"))).select(members.columns), "rest")
+        open_ = most_central(rest)
         new = open_.select("g", "s")
-        centres = new if centres is None else centres.unionByName(new)
+        first, centres = (new, new) if centres is None else (first, centres.unionByName(new))
         pairs = members.select("g", "s", "r").join(open_.select("g", F.col("s").alias("p"), "pr"), "g").where("r <> pr")
         pairs = pairs.select(F.least("s", "p").alias("sa"), F.greatest("s", "p").alias("sb")).distinct()
         step(pairs.join(side("a"), "sa").join(side("b"), "sb").where(near).select("sa", "sb"))
         scratch.drop(members)
     rooted = scratch.save(rooted_now(comp), "rooted")
-    open_ = rooted.groupBy("g").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.count("*").alias("size"), F.max(F.struct("w", "s")).alias("top"))
-    open_ = scratch.save(open_.where("r1 < r2").select(F.col("g").alias("og"), "size", "top"), "open")
+    open_ = rooted.groupBy("g").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.count("*").alias("size"))
+    open_ = scratch.save(open_.where("r1 < r2").select(F.col("g").alias("og"), "size"), "open")
     left = rooted.join(open_, F.col("g") == F.col("og"))
     few = scratch.save(left.where(F.col("size") <= SMALL).select("g", "s", "r").join(meta.select("s", "n", "sig"), "s"), "left")
     a, b = (few.select("g", *[F.col(c).alias(c + x) for c in ("s", "r", "n", "sig")]) for x in "ab")
     pairs = a.join(b, "g").where((F.col("sa") < F.col("sb")) & (F.col("ra") != F.col("rb")) & near).select("sa", "sb")
-    # a group's p is the set that most of its members have as the most central one of their groups
-    large = scratch.save(left.where(F.col("size") > SMALL).select("g", "s", "r", "top"), "large")
-    nearest = large.groupBy(F.col("s").alias("c")).agg(F.max("top").alias("best"))
-    votes = large.join(nearest, F.col("s") == F.col("c")).groupBy("g", "best").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy(F.col("g").alias("og")).agg(F.max(F.struct("votes", "best")).alias("v")).select("og", F.col("v.best.s").alias("p"))
-    many = scratch.save(large.join(chosen, F.col("g") == F.col("og")).select("s", "r", "p").distinct(), "many")
+    # a group's p is its first centre
+    chosen = first.select(F.col("g").alias("pg"), F.col("s").alias("p"))
+    many = scratch.save(left.where(F.col("size") > SMALL).join(chosen, F.col("g") == F.col("pg")).select("s", "r", "p"), "many")
     if many.limit(1).count():
         pairs = pairs.unionByName(by_differences(many))
     step(pairs.distinct())

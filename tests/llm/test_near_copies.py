@@ -132,6 +132,48 @@ def test_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert compared[-1] < 300
 
 
+def test_choosing_centres_takes_a_row_for_each_member(spark, monkeypatch):
+    """No table written after the index of a large group of near copies has more than two rows for each member, and the
+    centre is the text that the others were made from."""
+    base = words(300, "centre").split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 200):
+        w = list(base)
+        for at in random.Random(k).sample(range(0, 300, 5), 3):
+            w[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(w)))
+    made, first = [], []
+    save = near_copies.Scratch.save
+
+    def counted(self, df, name="t"):
+        out = save(self, df, name)
+        if made or name == "sizes":
+            made.append((name, out.count()))
+            if name == "open" and not first:
+                first.extend(x["s"] for x in out.collect())
+        return out
+
+    monkeypatch.setattr(near_copies.Scratch, "save", counted)
+    got = near_copies.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [x["doc_id"] for x in got] == [0]
+    assert max(n for _, n in made) <= 2 * len(rows), made
+    assert first == [near_copies.name_of(near_copies.shingle_set(rows[0][1]))]
+
+
+def test_majorities(spark):
+    """The bitwise majority of each group, of whichever rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x, g = rng.integers(-(1 << 63), (1 << 63) - 1, (50, near_copies.WORDS), dtype=np.int64), rng.integers(0, 3, 50)
+    rows = [(int(k), row.tolist()) for k, row in zip(g, x)]
+    got = {r["mg"]: r["m"] for r in near_copies.majorities(spark.createDataFrame(rows, "g long, sig array<long>")).collect()}
+    bits = (x.view(np.uint64)[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    for k in range(3):
+        most = 2 * bits[g == k].sum(axis=0) > (g == k).sum()
+        assert got[k] == [int(sum(1 << j for j in range(64) if row[j])) - (1 << 64) * int(row[63]) for row in most]
+
+
 def test_drifted_copies_are_paired_by_their_differences(spark, monkeypatch):
     """Copies that drift away from a text in different degrees, most below the threshold: the groups are those of all
     pairs, and few pairs are compared, although all share bands."""
