@@ -156,6 +156,22 @@ def test_line_dedup(spark):
     assert sorted((x["doc_id"], x["n_removed"], x["text"]) for x in got) == sorted(brute_lines(rows))
 
 
+def test_line_dedup_leaves_texts_without_repeats_in_place(spark, monkeypatch):
+    """Only documents that lose lines go through the join of texts; beyond the bound all do, with the same result."""
+    r = random.Random(6)
+    pool = [words(4, k) for k in range(40)]
+    rows = [(k if k % 9 else None, "\n".join([f"{k}/{j}" for j in range(4)] if k % 3 else pool[r.randrange(30) :][:5])) for k in range(60)] + [(70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = line_dedup.line_dedup(docs)
+    assert "LeftAnti" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    all_ = line_dedup.line_dedup(docs)
+    assert few.schema == all_.schema
+    key = lambda x: tuple(map(str, x))
+    got = sorted(few.collect(), key=key)
+    assert got == sorted(all_.collect(), key=key) and len(got) == len(rows) and any(x["n_removed"] for x in got)
+
+
 def test_line_dedup_odd(spark, odd):
     got = line_dedup.line_dedup(odd).collect()
     assert len(got) == odd.count() and set(odd.columns) <= set(got[0].asDict())
